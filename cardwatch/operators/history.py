@@ -19,18 +19,20 @@ VELOCITY = {"uid_txn_1h": HOUR_S, "uid_txn_24h": DAY_S, "uid_txn_7d": WEEK_S}
 COLUMNS = ["uid_time_since_last", "uid_dist_from_prev", *VELOCITY, "prior_mean", "prior_std"]
 STRICT_COLUMNS = [f"{c}_strict" for c in VELOCITY]
 
-_CARD = W.partitionBy("card_uid")
 _ORDER = ["unix_time", "trans_num"]
-_BY_SECOND = _CARD.orderBy("unix_time")
+
+
+def _card(*order):
+    return W.partitionBy("card_uid").orderBy(*order)
 
 
 def _count_until(offset: int) -> Column:
     """Rows of the card at least ``offset`` seconds back. The frame only grows: one add per row."""
-    return F.count("*").over(_BY_SECOND.rangeBetween(W.unboundedPreceding, -offset))
+    return F.count("*").over(_card("unix_time").rangeBetween(W.unboundedPreceding, -offset))
 
 
 def _windowed(df: DataFrame) -> DataFrame:
-    rows = _CARD.orderBy(*_ORDER)
+    rows = _card(*_ORDER)
     prior = rows.rowsBetween(-ROLLING_ROWS, -1)
     lag = lambda c: F.lag(c).over(rows)
     # window values first, each once; the arithmetic on them comes in a second step
@@ -63,7 +65,7 @@ def _carried(chunked: DataFrame) -> DataFrame:
         chunked.withColumn("tail", tail).groupBy("card_uid", "chunk")
         .agg(F.count("*").alias("n"), F.max_by("tail", F.struct(*_ORDER)).alias("tail"))
     )
-    across = _CARD.orderBy("chunk")
+    across = _card("chunk")
     return ends.select(
         "card_uid", "chunk",
         F.coalesce(F.sum("n").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"),
@@ -94,7 +96,7 @@ def _older_counts(hot: DataFrame, n_rows: int, per_range: int) -> DataFrame:
     ends = chunked.groupBy("card_uid", "chunk").agg(F.sum("n").alias("n")).select(
         "card_uid", "chunk",
         F.coalesce(F.sum("n").over(
-            _CARD.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"),
+            _card("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"),
     )
     inside = W.partitionBy("card_uid", "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     older = chunked.join(F.broadcast(ends), ["card_uid", "chunk"]).withColumn(
@@ -154,5 +156,5 @@ def fill_rolling(df: DataFrame, fill_mean: Column) -> DataFrame:
 
 def last_rows_per_card(df: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` rows of each card; map tasks already drop all but ``n`` before the shuffle."""
-    newest = _CARD.orderBy(F.desc("unix_time"), F.desc("trans_num"))
+    newest = _card(F.desc("unix_time"), F.desc("trans_num"))
     return df.withColumn("recency", F.row_number().over(newest)).where(F.col("recency") <= n)

@@ -75,9 +75,9 @@ def join_location(df: DataFrame, stats: DataFrame, hot: HotKeys | None = None) -
     return joined.fillna(LOCATION_DEFAULTS)
 
 
-def join_category(df: DataFrame, categories: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+def join_category(df: DataFrame, categories: DataFrame, fallback: Column | None = None) -> DataFrame:
     table = categories.select("category", "cat_mean_amt", "cat_median_amt")
-    default = one_row(category_fallback(categories) if fallback is None else fallback)
+    default = one_row(category_fallback(categories)) if fallback is None else fallback
     return lookup_join(df, table, "category").withColumns({
         c: F.coalesce(F.col(c), default.getField(c)) for c in ("cat_mean_amt", "cat_median_amt")})
 

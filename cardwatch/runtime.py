@@ -83,6 +83,12 @@ def one_row(table: DataFrame) -> Column:
     return table.select(F.struct(*table.columns).alias("row")).scalar()
 
 
+def literal_row(table: DataFrame) -> Column:
+    """A stored one-row table as a struct of constants, which the optimizer folds away."""
+    row = table.first()
+    return F.struct(*[F.lit(row[c]).alias(c) for c in table.columns])
+
+
 class HotKeys:
     """The heaviest keys of a column, at most MAX_HOT_KEYS of them, with their row counts."""
 

@@ -70,18 +70,27 @@ ALL_FEATURES = [
 ]
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+_TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "bigint": T.LongType(),
+    "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType(),
+    "array<bigint>": T.ArrayType(T.LongType()), "array<double>": T.ArrayType(T.DoubleType()),
+}
+
+
+def struct(spec: str) -> T.StructType:
+    """A schema from "name type, name type"; unlike a DDL parse it needs no running session."""
+    return T.StructType([
+        T.StructField(name, _TYPES[kind]) for name, kind in (field.split() for field in spec.split(","))])
 
 
 #: one row as a caller sends it (no id, no label)
-REQUEST_ROW = _struct(
+REQUEST_ROW = struct(
     "trans_date_trans_time string, cc_num string, merchant string, category string, amt double, "
     "gender string, city string, state string, zip string, lat double, long double, "
     "city_pop int, job string, dob string, unix_time bigint, merch_lat double, merch_long double"
 )
 #: one stored transaction; naive timestamps, so results do not hang on a session time zone
-TRANSACTION = _struct(
+TRANSACTION = struct(
     "trans_num string, trans_date_trans_time timestamp_ntz, unix_time bigint, cc_num string, "
     "merchant string, category string, amt double, first string, last string, gender string, "
     "street string, city string, state string, zip string, lat double, long double, "

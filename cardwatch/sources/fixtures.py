@@ -28,6 +28,7 @@ def transactions_from_events(events: DataFrame) -> DataFrame:
         F.col("event_type").alias("category"),
         F.col("value").alias("amt"),
         F.when(u % 2 == 0, "M").otherwise("F").alias("gender"),
+        F.concat(F.lit("C"), (u % 40).cast("string")).alias("city"),
         F.concat(F.lit("S"), (u % 25).cast("string")).alias("state"),
         F.lpad((u * 7919 % 100000).cast("string"), 5, "0").alias("zip"),
         (F.lit(25.0) + (u * 37 % 2500) / F.lit(100.0) + (e % 3) * F.lit(0.01)).alias("lat"),
