@@ -298,7 +298,7 @@ def large_velocity(spark, sf):
         *[F.sum(c).alias(c) for c in [*history.VELOCITY, *history.STRICT_COLUMNS]])
 
 
-@query(digits=2)
+@query(digits=4)
 def large_rolling(spark, sf):
     rows = history.with_history(fixtures.txn_large(spark, sf))
     return rows.groupBy("card_uid").agg(
@@ -404,23 +404,28 @@ def corr_matrix(spark, sf):
     return select.correlation_matrix(_train(_population(_split(spark, sf))), CORRELATED).select("a", "b", "r")
 
 
+def _importances(train: DataFrame) -> DataFrame:
+    """Rounded, so that features which are multiples of each other tie."""
+    table = select.label_importance(train, CORRELATED)
+    return stored(table.withColumn("importance", F.round("importance", 9)), "importances")
+
+
 @query()
 def importance_cum(spark, sf):
     train = _train(_population(_split(spark, sf)))
-    return clean.feature_catalogue(select.cumulative_importance(select.label_importance(train, CORRELATED)))
+    return clean.feature_catalogue(select.cumulative_importance(_importances(train)))
 
 
 @query()
 def select_important(spark, sf):
     train = _train(_population(_split(spark, sf)))
-    return select.keep_important(select.label_importance(train, CORRELATED)).select("feature", "rank")
+    return select.keep_important(_importances(train)).select("feature", "rank")
 
 
 @query()
 def select_corr_prune(spark, sf):
     train = stored(_train(_population(_split(spark, sf))), "train")
-    kept = select.keep_important(stored(select.label_importance(train, CORRELATED), "importances"))
-    return select.prune_correlated(train, kept).select("feature", "rank")
+    return select.prune_correlated(train, select.keep_important(_importances(train))).select("feature", "rank")
 
 
 # --- decisions ---------------------------------------------------------------------------------
@@ -559,13 +564,18 @@ def large_compare(spark, sf):
 
 @query()
 def stream_features(spark, sf):
-    """All transactions through the keyed state in several micro-batches; equals the batch windows."""
-    source = fresh_path(spark, "stream-in")
+    """All transactions through the keyed state, in four arrivals; equals the batch windows.
+
+    Each arrival is a slice of time that is written whole before the stream takes it up again.
+    """
+    source, out, checkpoint = (fresh_path(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
     rows = fixtures.txn(spark, sf)
-    rows.repartitionByRange(4, "unix_time", "trans_num").sortWithinPartitions("unix_time").write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    out, checkpoint = fresh_path(spark, "stream-out"), fresh_path(spark, "stream-state")
-    stream_to_table(stream_history(stream, order=("unix_time", "trans_num")), out, checkpoint).awaitTermination()
+    quarter = rows.agg(F.percentile_approx("unix_time", F.lit([0.25, 0.5, 0.75]), 100).alias("q")).first()["q"]
+    for low, high in zip([None, *quarter], [*quarter, None]):
+        part = rows if low is None else rows.where(F.col("unix_time") > low)
+        (part if high is None else part.where(F.col("unix_time") <= high)).write.mode("append").parquet(source)
+        stream = stream_history(spark.readStream.schema(rows.schema).parquet(source), ("unix_time", "trans_num"))
+        stream_to_table(stream, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).select("trans_num", *history.COLUMNS)
 
 

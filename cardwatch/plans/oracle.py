@@ -51,7 +51,7 @@ SELECT *, hour(ts) AS hour, isodow(ts) - 1 AS day_of_week, month(ts) AS month,
 FROM txn""",
     "hist": f"""
 SELECT *, unix_time - coalesce(p_time, unix_time) AS uid_time_since_last,
-  coalesce({_hav('p_lat', 'p_long', 'lat', 'long')}, 0.0) AS uid_dist_from_prev
+  CASE WHEN p_lat IS NULL THEN 0.0 ELSE {_hav('p_lat', 'p_long', 'lat', 'long')} END AS uid_dist_from_prev
 FROM (
   SELECT *, lag(unix_time) OVER o AS p_time, lag(lat) OVER o AS p_lat, lag(long) OVER o AS p_long,
     avg(amt) OVER (o ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS prior_mean,
@@ -206,7 +206,7 @@ FROM ({ranked})""")
 _IMPORTANCES = ["amt", "log_amt", "amt_x_hour", "amt_per_txday", "amt_zscore_global", "distance_km",
                 "distance_anomaly", "hour", "is_night", "age", "city_pop", "log_city_pop"]
 _IMPORTANCE = {"imp": "\nUNION ALL ".join(
-    f"SELECT '{f}' AS feature, abs(corr({f}::DOUBLE, is_fraud::DOUBLE)) AS importance FROM pop WHERE split = 'train'"
+    f"SELECT '{f}' AS feature, round(abs(corr({f}::DOUBLE, is_fraud::DOUBLE)), 9) AS importance FROM pop WHERE split = 'train'"
     for f in _IMPORTANCES)} | {"ranked": """
 SELECT feature, importance, row_number() OVER (ORDER BY importance DESC, feature) AS rank,
   sum(importance) OVER (ORDER BY importance DESC, feature ROWS UNBOUNDED PRECEDING) / sum(importance) OVER ()
@@ -309,7 +309,7 @@ SELECT card_uid, count(*) AS n_rows, CAST(sum(gap) AS BIGINT) AS gaps, CAST(sum(
   CAST(sum(s1) AS BIGINT) AS uid_txn_1h_strict, CAST(sum(s24) AS BIGINT) AS uid_txn_24h_strict,
   CAST(sum(s7) AS BIGINT) AS uid_txn_7d_strict FROM largehist GROUP BY card_uid"""),
     "large_rolling": _sql(["large", "largehist"], """
-SELECT card_uid, round(sum(m), 2) AS prior_mean, round(sum(sd), 2) AS prior_std FROM largehist GROUP BY card_uid"""),
+SELECT card_uid, round(sum(m), 4) AS prior_mean, round(sum(sd), 4) AS prior_std FROM largehist GROUP BY card_uid"""),
     "agg_global": _sql([*_CHAIN, "scal"], f"""
 SELECT {_r('seq_global_mean global_amt_mean global_amt_std dist_mean scale_pos_weight')},
   {_i('n_negative n_positive')} FROM scal"""),
