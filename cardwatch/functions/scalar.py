@@ -9,9 +9,9 @@ from cardwatch.schema import CLIP_LIMIT, DAYS_PER_YEAR, EARTH_RADIUS_KM, EPSILON
 _HAVERSINE_SQL = f"""
 CREATE OR REPLACE TEMPORARY FUNCTION haversine_km(lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE)
 RETURNS DOUBLE
-RETURN {2 * EARTH_RADIUS_KM}D * asin(sqrt(least(1.0D,
+RETURN CASE WHEN lat1 + lon1 + lat2 + lon2 IS NOT NULL THEN {2 * EARTH_RADIUS_KM}D * asin(sqrt(least(1.0D,
     power(sin((radians(lat2) - radians(lat1)) / 2), 2)
-    + cos(radians(lat1)) * cos(radians(lat2)) * power(sin((radians(lon2) - radians(lon1)) / 2), 2))))
+    + cos(radians(lat1)) * cos(radians(lat2)) * power(sin((radians(lon2) - radians(lon1)) / 2), 2)))) END
 """
 
 
@@ -26,9 +26,9 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     chord = F.sin(half_lat) * F.sin(half_lat) + (
         F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(half_lon) * F.sin(half_lon)
     )
-    # the clamp keeps antipodes from leaving asin's domain; null in, null out
-    clamped = F.when(chord > 1.0, F.lit(1.0)).otherwise(chord)
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(clamped))
+    # the clamp keeps antipodes from leaving asin's domain; alone it would turn null into a distance
+    known = lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull()
+    return F.when(known, F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), chord))))
 
 
 def clip(value: Column, limit: float = CLIP_LIMIT) -> Column:

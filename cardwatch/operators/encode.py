@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cardwatch.functions.text import category_text
 from cardwatch.operators.running import range_chunks
-from cardwatch.runtime import BROADCAST_ROWS, ROWS_PER_RANGE, at_most, setting, stored
+from cardwatch.runtime import BROADCAST_ROWS, ROWS_PER_RANGE, setting, stored
 from cardwatch.schema import CATEGORICAL, UNSEEN
 
 
@@ -42,14 +42,15 @@ def fit_vocabulary(train: DataFrame, columns: list[str] = CATEGORICAL) -> DataFr
 
 def encode(df: DataFrame, vocabulary: DataFrame, columns: list[str] = CATEGORICAL, suffix: str = "") -> DataFrame:
     """Replace each categorical value by its code; unknown values get the code of ``<unseen>``."""
-    small = at_most(vocabulary, setting(df.sparkSession, "broadcastRows", BROADCAST_ROWS))
-    unseen = {r["column"]: r["code"] for r in
-              vocabulary.where((F.col("value") == UNSEEN) & F.col("column").isin(columns)).collect()}
+    limit = setting(df.sparkSession, "broadcastRows", BROADCAST_ROWS)
+    facts = vocabulary.where(F.col("column").isin(columns)).groupBy("column").agg(
+        F.count("*").alias("n"), F.max(F.when(F.col("value") == UNSEEN, F.col("code"))).alias("unseen")).collect()
+    sizes, unseen = ({r["column"]: r[what] for r in facts} for what in ("n", "unseen"))
     for name in columns:
         table = vocabulary.where(F.col("column") == name).select(
             F.col("value").alias("_value"), F.col("code").alias("_code"))
         df = df.withColumn("_value", category_text(F.col(name))).join(
-            F.broadcast(table) if small else table, "_value", "left"
+            F.broadcast(table) if sizes[name] <= limit else table, "_value", "left"
         ).withColumn(name + suffix, F.coalesce("_code", F.lit(unseen[name]))).drop("_value", "_code")
     return df
 

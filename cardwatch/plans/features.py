@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cardwatch.functions.scalar import add_drift, add_row_features
@@ -21,7 +23,6 @@ class FeatureStats:
     scalars: DataFrame
     loc_stats: DataFrame
     cat_agg: DataFrame
-    cat_fallback: DataFrame
     vocabulary: DataFrame
 
     def save(self, path: str) -> None:
@@ -34,16 +35,20 @@ class FeatureStats:
 
 
 def fit_features(train: DataFrame, approximate: bool = False) -> FeatureStats:
-    """``train`` holds keyed, cleaned training rows. Each table is stored once and read from then on."""
+    """``train`` holds keyed, cleaned training rows, best a stored table: each fit reads it once.
+
+    The fits do not depend on each other, so they are submitted side by side.
+    """
     base = add_row_features(train)
-    categories = stored(fitted.category_stats(base, approximate), "cat-agg")
-    return FeatureStats(
-        scalars=stored(fitted.global_scalars(base), "scalars"),
-        loc_stats=stored(fitted.location_stats(base, approximate), "loc-stats"),
-        cat_agg=categories,
-        cat_fallback=stored(fitted.category_fallback(categories), "cat-fallback"),
-        vocabulary=stored(fit_vocabulary(base), "vocabulary-codes"),
-    )
+    fits = {
+        "scalars": lambda: fitted.global_scalars(base),
+        "loc_stats": lambda: fitted.location_stats(base, approximate),
+        "cat_agg": lambda: fitted.category_stats(base, approximate),
+        "vocabulary": lambda: fit_vocabulary(base),
+    }
+    run = inheritable_thread_target(lambda name: stored(fits[name](), name))
+    with ThreadPool(len(fits)) as pool:
+        return FeatureStats(**dict(zip(fits, pool.map(run, fits))))
 
 
 def population_features(df: DataFrame, stats: FeatureStats, hot: HotKeys | None = None) -> DataFrame:
@@ -51,7 +56,7 @@ def population_features(df: DataFrame, stats: FeatureStats, hot: HotKeys | None
     scalars = literal_row(stats.scalars)
     df = history.fill_rolling(df, scalars.getField("seq_global_mean"))
     df = fitted.join_location(df, stats.loc_stats, hot)
-    df = fitted.join_category(df, stats.cat_agg, literal_row(stats.cat_fallback))
+    df = fitted.join_category(df, stats.cat_agg, literal_row(fitted.category_fallback(stats.cat_agg)))
     return add_drift(fitted.add_population_features(df, scalars))
 
 

@@ -84,7 +84,7 @@ def one_row(table: DataFrame) -> Column:
 
 
 def literal_row(table: DataFrame) -> Column:
-    """A stored one-row table as a struct of constants, which the optimizer folds away."""
+    """A one-row table as a struct of constants, which the optimizer folds away."""
     row = table.first()
     return F.struct(*[F.lit(row[c]).alias(c) for c in table.columns])
 

@@ -1,4 +1,7 @@
-"""Run queries and their SQL side by side: ``python -m tests.parity <sf_dir> [query ...]``."""
+"""Run queries and their SQL side by side: ``python -m tests.parity <sf_dir> [query ...]``.
+
+``PARITY_CONF="name=value,name=value"`` sets session options, such as the spark.cardwatch limits.
+"""
 
 from __future__ import annotations
 
@@ -62,6 +65,8 @@ def main() -> None:
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").getOrCreate())
     spark.sparkContext.setLogLevel("OFF")
+    for option in filter(None, os.environ.get("PARITY_CONF", "").split(",")):
+        spark.conf.set(*option.split("="))
     con = connect(sf_dir)
     failed = 0
     for name in names:
