@@ -46,7 +46,7 @@ def fit_features(train: DataFrame, approximate: bool = False) -> FeatureStats:
         "cat_agg": lambda: fitted.category_stats(base, approximate),
         "vocabulary": lambda: fit_vocabulary(base),
     }
-    run = inheritable_thread_target(lambda name: stored(fits[name](), name))
+    run = inheritable_thread_target(train.sparkSession)(lambda name: stored(fits[name](), name))
     with ThreadPool(len(fits)) as pool:
         return FeatureStats(**dict(zip(fits, pool.map(run, fits))))
 
