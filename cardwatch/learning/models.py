@@ -35,6 +35,11 @@ def random_forest(name: str, **params) -> RandomForestClassifier:
     return _named(RandomForestClassifier(**chosen), name)
 
 
+def attribution_base(**params) -> GBTClassifier:
+    """The model whose contributions decide which features stay."""
+    return boosted_trees("base", **{"maxIter": 300, **params})
+
+
 def default_members(**params) -> dict[str, Estimator]:
     """Three different learners; ``params`` override a setting wherever the learner has it."""
     return {

@@ -8,14 +8,20 @@ from pyspark.ml.base import Estimator
 from pyspark.sql import DataFrame, functions as F
 
 from cardwatch.learning.attribution import attribute
-from cardwatch.learning.models import Ensemble, calibrate, default_members, fit_calibration
+from cardwatch.learning.models import (
+    Ensemble, attribution_base, calibrate, check_reload, default_members, fit_calibration, training_matrix,
+)
+from cardwatch.learning.tuning import tuned_members
 from cardwatch.operators import select
 from cardwatch.operators.clean import add_keys, clean, drop_junk_columns, with_defaults
-from cardwatch.operators.curve import compare_models, long_scores
-from cardwatch.operators.split import assert_no_overlap, calibration_flag, group_holdout, stratified_sample
+from cardwatch.operators.curve import compare_models, curve_points, curve_summary, long_scores
+from cardwatch.operators.split import (
+    assert_no_overlap, calibration_flag, group_holdout, hash_fold, stratified_sample, subsample_cards,
+)
 from cardwatch.plans.features import FeatureStats, apply_features, export_table, fit_features
 from cardwatch.runtime import stored
-from cardwatch.schema import ALL_FEATURES, ATTRIBUTION_SAMPLE, ENSEMBLE
+from cardwatch.schema import ALL_FEATURES, ATTRIBUTION_SAMPLE, ENSEMBLE, TUNING_MAX_ROWS, TUNING_TRIALS
+from cardwatch.sources import sinks
 
 
 def prepare(raw: DataFrame) -> DataFrame:
@@ -46,23 +52,60 @@ def select_features(train: DataFrame, base_model, features: list[str] = ALL_FEAT
 @dataclass
 class Trained:
     ensemble: Ensemble
+    thresholds: DataFrame
     scores: DataFrame
     comparison: DataFrame
 
 
 def train_and_evaluate(features: DataFrame, selected: list[str], learners: dict[str, Estimator] | None = None,
                        calibrated: str = "model_a") -> Trained:
-    """Fit the members, calibrate one of them on rows no member saw, compare all on the test cards."""
+    """Fit the members, calibrate one of them, compare all on the test cards.
+
+    Calibration and decision thresholds come from train rows that no member was fitted on, so the
+    test rows are used for the comparison and nothing else.
+    """
     learners = learners or default_members()
     train = calibration_flag(with_defaults(features.where(F.col("split") == "train"), selected))
     test = with_defaults(features.where(F.col("split") == "test"), selected)
     ensemble = Ensemble.fit(train.where(~F.col("is_calibration")), selected, learners)
     names = [*learners, ENSEMBLE]
-    held_out = ensemble.score(train.where("is_calibration"), keep=["trans_num", "is_fraud"])
+    held_out = stored(ensemble.score(train.where("is_calibration"), keep=["trans_num", "is_fraud"]), "held-out")
+    thresholds = curve_summary(curve_points(long_scores(held_out, names))).select("model", "threshold")
     model = fit_calibration(held_out, calibrated)
     scored = calibrate(ensemble.score(test, keep=["trans_num", "is_fraud"]), model, calibrated, f"{calibrated}_cal")
     scores = long_scores(stored(scored, "scores"), [*names, f"{calibrated}_cal"])
-    return Trained(ensemble, scores, compare_models(scores))
+    return Trained(ensemble, thresholds, scores, compare_models(scores))
+
+
+def full_run(raw: DataFrame, out: str, version: str = "v1", trials: int = TUNING_TRIALS,
+             spaces: dict[str, dict] | None = None, base: Estimator | None = None) -> Trained:
+    """Raw rows to saved artefacts: prepare, select, tune, train, evaluate, write, check."""
+    spark = raw.sparkSession
+    features, stats = features_of(prepare(raw))
+    train = features.where(F.col("split") == "train")
+    first = Ensemble.fit(with_defaults(train, ALL_FEATURES), ALL_FEATURES, {"base": base or attribution_base()})
+    chosen = stored(select_features(train, first.members["base"]), "selected")
+    selected = [r["feature"] for r in chosen.orderBy("rank").collect()]
+
+    part = hash_fold(subsample_cards(train, TUNING_MAX_ROWS, train.count()))
+    matrix = training_matrix(with_defaults(part, selected), selected)
+    learners, tried = tuned_members(matrix, trials, spaces)
+    done = train_and_evaluate(features, selected, learners)
+
+    stats.save(f"{out}/preprocessing")
+    done.ensemble.save(f"{out}/models")
+    sinks.write_selected(chosen, f"{out}/selected_features")
+    sinks.write_table(tried, f"{out}/trials")
+    sinks.write_table(done.comparison, f"{out}/comparison")
+    limits = {r["model"]: r["threshold"] for r in done.thresholds.collect()}
+    files = {n: f"models/{n}" for n in learners}
+    sinks.write_metadata(sinks.run_metadata(spark, version, selected, limits, files), f"{out}/metadata")
+    missing = sinks.missing_artefacts(sinks.manifest(
+        spark, out, ["preprocessing", "models", "selected_features", "trials", "comparison", "metadata"]))
+    if missing:
+        raise RuntimeError(f"artefacts not written: {missing}")
+    check_reload(spark, Ensemble.load(f"{out}/models", list(learners), selected))
+    return done
 
 
 def evaluate_elsewhere(raw: DataFrame, stats: FeatureStats, ensemble: Ensemble,
