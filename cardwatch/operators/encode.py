@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cardwatch.functions.text import category_text
-from cardwatch.operators.running import range_chunks
-from cardwatch.runtime import BROADCAST_ROWS, ROWS_PER_RANGE, setting, stored
+from cardwatch.operators.running import range_chunks, range_count
+from cardwatch.runtime import BROADCAST_ROWS, ROWS_PER_RANGE, bounded, setting, stored
 from cardwatch.schema import CATEGORICAL, UNSEEN
 
 
@@ -36,7 +36,7 @@ def fit_vocabulary(train: DataFrame, columns: list[str] = CATEGORICAL) -> DataFr
         "column", "chunk", F.coalesce(F.sum("n").over(
             per_column.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     inside = W.partitionBy("column", "chunk").orderBy("value")
-    return chunked.join(F.broadcast(ends), ["column", "chunk"]).select(
+    return chunked.join(bounded(ends, range_count(n, per_range) + len(columns)), ["column", "chunk"]).select(
         "column", "value", (F.col("ahead") + F.row_number().over(inside) - 1).cast("int").alias("code"))
 
 

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cardwatch.functions.scalar import haversine_km
-from cardwatch.operators.running import range_chunks
-from cardwatch.runtime import ROWS_PER_RANGE, HotKeys, setting
-from cardwatch.schema import DAY_S, HOUR_S, ROLLING_ROWS, WEEK_S
+from cardwatch.operators.running import range_chunks, range_count
+from cardwatch.runtime import MAX_HOT_KEYS, ROWS_PER_RANGE, HotKeys, bounded, setting
+from cardwatch.schema import DAY_S, HISTORY_ROWS, HOUR_S, ROLLING_ROWS, WEEK_S
 
 VELOCITY = {"uid_txn_1h": HOUR_S, "uid_txn_24h": DAY_S, "uid_txn_7d": WEEK_S}
 COLUMNS = ["uid_time_since_last", "uid_dist_from_prev", *VELOCITY, "prior_mean", "prior_std"]
@@ -73,6 +73,11 @@ def _carried(chunked: DataFrame) -> DataFrame:
     )
 
 
+def _end_rows(n_rows: int, per_range: int) -> int:
+    """Each range and each heavy card starts at most one (card, range) pair."""
+    return range_count(n_rows, per_range) + MAX_HOT_KEYS
+
+
 def _last(rows: Column, n: int) -> Column:
     return F.slice(rows, F.greatest(F.size(rows) - (n - 1), F.lit(1)), n)
 
@@ -92,14 +97,15 @@ def _older_counts(hot: DataFrame, n_rows: int, per_range: int) -> DataFrame:
     events = seconds.select("card_uid", "unix_time", F.posexplode(asked).alias("slot", "e")).select(
         "card_uid", "unix_time", "slot", "e.at", "e.kind", "e.n")
     order = ["at", "kind", "unix_time", "slot"]
-    chunked = range_chunks(events, ["card_uid", *order], n_rows * (2 + len(VELOCITY)), per_range, "hot-seconds")
+    n_events = n_rows * (2 + len(VELOCITY))
+    chunked = range_chunks(events, ["card_uid", *order], n_events, per_range, "hot-seconds")
     ends = chunked.groupBy("card_uid", "chunk").agg(F.sum("n").alias("n")).select(
         "card_uid", "chunk",
         F.coalesce(F.sum("n").over(
             _card("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"),
     )
     inside = W.partitionBy("card_uid", "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    older = chunked.join(F.broadcast(ends), ["card_uid", "chunk"]).withColumn(
+    older = chunked.join(bounded(ends, _end_rows(n_events, per_range)), ["card_uid", "chunk"]).withColumn(
         "older", F.col("ahead") + F.sum("n").over(inside)).where("kind = 0")
     return older.groupBy("card_uid", "unix_time").agg(*[
         F.max(F.when(F.col("slot") == i + 1, F.col("older"))).alias(name)
@@ -113,7 +119,7 @@ def _ranged(hot: DataFrame, n_rows: int) -> DataFrame:
     inside = W.partitionBy("card_uid", "chunk").orderBy(*_ORDER)
     near = F.collect_list(F.struct("unix_time", "lat", "long", "amt")).over(inside.rowsBetween(-ROLLING_ROWS, -1))
     rows = (
-        chunked.join(F.broadcast(_carried(chunked)), ["card_uid", "chunk"])
+        chunked.join(bounded(_carried(chunked), _end_rows(n_rows, per_range)), ["card_uid", "chunk"])
         .withColumn("prior", _last(F.concat("carry", near), ROLLING_ROWS))
         .withColumn("rank", F.col("rows_before") + F.row_number().over(inside))
     )
@@ -154,7 +160,7 @@ def fill_rolling(df: DataFrame, fill_mean: Column) -> DataFrame:
     }).drop("prior_mean", "prior_std")
 
 
-def last_rows_per_card(df: DataFrame, n: int) -> DataFrame:
+def last_rows_per_card(df: DataFrame, n: int = HISTORY_ROWS) -> DataFrame:
     """The newest ``n`` rows of each card; map tasks already drop all but ``n`` before the shuffle."""
     newest = _card(F.desc("unix_time"), F.desc("trans_num"))
     return df.withColumn("recency", F.row_number().over(newest)).where(F.col("recency") <= n)

@@ -128,12 +128,15 @@ def hash_rank(df: DataFrame, group: list[str], key: str, tie: str) -> DataFrame:
         "rank", F.col("ahead") + F.row_number().over(inside)).drop("chunk", "ahead")
 
 
+def range_count(rows: int, rows_per_range: int) -> int:
+    return max(2, -(-rows // rows_per_range))
+
+
 def range_chunks(df: DataFrame, order: list[str], rows: int, rows_per_range: int, name: str) -> DataFrame:
     """Range-partition by the full order key and store the result with its range number.
 
     For orders over several columns. The stored table keeps the ranges fixed for every later use.
     """
-    parts = max(2, -(-rows // rows_per_range))
     return stored(
-        df.repartitionByRange(parts, *order).withColumn("chunk", F.spark_partition_id()), name
+        df.repartitionByRange(range_count(rows, rows_per_range), *order).withColumn("chunk", F.spark_partition_id()), name
     )

@@ -69,9 +69,11 @@ def with_balanced_fold(df: DataFrame, folds: int = CV_FOLDS) -> DataFrame:
 def _up_to(df: DataFrame, size: Column, key: str, seed: int, label: str) -> Column:
     """True for the first ``size`` rows of each class in hash order."""
     hashed = hash_key(F.col(key), seed)
-    limits = hash_cutoffs(df.select(label, hashed.alias("_key")), [label], "_key", size).limit(MAX_CLASSES)
+    limits = hash_cutoffs(df.select(label, hashed.alias("_key")), [label], "_key", size).limit(MAX_CLASSES + 1).collect()
+    if len(limits) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
     taken = F.lit(False)
-    for row in limits.collect():
+    for row in limits:
         taken = taken | ((F.col(label) == row[label]) & (hashed <= row["cutoff"]))
     return taken
 

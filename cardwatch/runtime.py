@@ -78,6 +78,12 @@ def lookup_join(df: DataFrame, table: DataFrame, on: str | list[str], how: str =
     return df.join(F.broadcast(table) if at_most(table, limit) else table, on, how)
 
 
+def bounded(table: DataFrame, rows: int) -> DataFrame:
+    """Mark a table for broadcast when its row count, known to be at most ``rows``, is small."""
+    small = rows <= setting(table.sparkSession, "broadcastRows", BROADCAST_ROWS)
+    return F.broadcast(table) if small else table
+
+
 def one_row(table: DataFrame) -> Column:
     """A one-row table as a struct column (an uncorrelated scalar subquery)."""
     return table.select(F.struct(*table.columns).alias("row")).scalar()

@@ -7,7 +7,6 @@ TARGET = "is_fraud"
 SEED = 42
 TEST_SHARE = 0.20
 EARLY_STOP_SHARE = 0.10
-EARLY_STOP_ROUNDS = 50
 CALIBRATION_SHARE = 0.20
 CV_FOLDS = 3
 TUNING_TRIALS = 50
