@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardwatch.llm import mixing
+from cardwatch.llm import mixing, packing
 
-QUERIES = {"op1_mix": mixing.op1_mix}
+QUERIES = {"op1_mix": mixing.op1_mix, "op3_pack": packing.op3_pack}
 ORACLE = {"op1_mix": mixing.OP1_SQL}
