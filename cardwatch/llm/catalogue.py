@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardwatch.llm import mixing, packing
+from cardwatch.llm import mixing, packing, repetition
 
-QUERIES = {"op1_mix": mixing.op1_mix, "op3_pack": packing.op3_pack}
+QUERIES = {"op1_mix": mixing.op1_mix, "op3_pack": packing.op3_pack, "op10_repetition": repetition.op10_repetition}
 ORACLE = {"op1_mix": mixing.OP1_SQL}
