@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardwatch.llm import mixing, packing, repetition
+from cardwatch.llm import mixing, neardup, packing, repetition
 
-QUERIES = {"op1_mix": mixing.op1_mix, "op3_pack": packing.op3_pack, "op10_repetition": repetition.op10_repetition}
-ORACLE = {"op1_mix": mixing.OP1_SQL}
+QUERIES = {"op1_mix": mixing.op1_mix, "op3_pack": packing.op3_pack, "op10_repetition": repetition.op10_repetition, "op8_near_duplicates": neardup.op8_near_duplicates}
+ORACLE = {"op1_mix": mixing.OP1_SQL, "op8_near_duplicates": neardup.OP8_SQL}
