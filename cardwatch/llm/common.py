@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import itertools
 import json
-from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: runs of anything but ASCII white space; the same in Spark, Python's re and RE2
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,25 +39,17 @@ def learned(key: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % modulus != remainder, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, seed: int, per: str | None = None) -> DataFrame:
-    """At most ``rows`` rows (of each value of ``per``), those of the lowest seeded hash; the same on every run.
+def bounded_sample(df: DataFrame, key: str, rows: int, seed: int, per: str) -> DataFrame:
+    """About ``rows`` rows of each value of ``per`` (all, if fewer), by seeded hash of the key; the same on every run.
 
-    Rows are first thinned by the same hash to about twice the bound, so what is ranked does not grow with the table.
+    Only the counts per value are shuffled; ``per`` is a label with few values.
     """
-    place = F.xxhash64(F.lit(seed), F.col(key))
-    unit = F.shiftrightunsigned(place, 11) / F.lit(float(1 << 53))
-    if per is None:
-        total = max(df.count(), 1)
-        return df.where(unit < (2.0 * rows + 64.0) / total).orderBy(place, key).limit(rows)
-    sizes = df.groupBy(F.col(per).alias("__per")).agg(F.count("*").alias("__n"))
-    thin = df.join(sizes, df[per] == sizes["__per"]).where(unit < F.lit(2.0 * rows + 64.0) / F.col("__n"))
-    first = W.partitionBy("__per").orderBy(place, key)
-    return thin.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= rows).drop("__rank", "__n", "__per")
-
-
-def batched(rows: Iterator, size: int) -> Iterator[list]:
-    while part := list(itertools.islice(rows, size)):
-        yield part
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) / F.lit(float(1 << 53))
+    rates = {r[0]: rows / r[1] for r in df.groupBy(per).count().collect() if r[0] is not None}
+    if not rates:
+        return df.limit(0)
+    rate = F.create_map(*[F.lit(x) for item in rates.items() for x in item])[F.col(per)]
+    return df.where(place < rate)
 
 
 def byte_of_character() -> dict[str, int]:
