@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -52,6 +53,18 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: int, per: str) -> D
     return df.where(place < rate)
 
 
+def rows_where(docs: DataFrame, text: str, verdict: Callable[[list], list]) -> DataFrame:
+    """Rows of ``docs`` whose text passes; verdict takes a list of texts. All columns pass through as they are."""
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(verdict(batch.column(text).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def byte_of_character() -> dict[str, int]:
     """The public byte-level alphabet: printable Latin-1 bytes stand for themselves, the rest follow from U+0100 on."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cardwatch.llm.common import bounded_sample, held, learned, table
+from cardwatch.llm.common import bounded_sample, held, learned, rows_where, table
 
 DIMENSIONS = 1 << 16
 ORDERS = (2, 3, 4)
@@ -181,32 +181,48 @@ def learn(docs: DataFrame, *, learn_rows: int, seed: int) -> Model | None:
     return model
 
 
+def decided(texts, model: Model | None):
+    """Arrays of label, score and whether the runner-up is near, of texts."""
+    import numpy as np
+
+    label, score, unsure = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.ones(len(texts), bool)
+    if model is not None and len(texts):
+        values, sizes = bit_values(texts, model.weights)
+        some = np.flatnonzero(sizes > 0)
+        cost = model.decode(values[some])
+        order = np.sort(cost, axis=1)
+        label[some] = np.array(model.languages, object)[cost.argmin(axis=1)]
+        score[some] = 1 / np.exp(order[:, :1] - order).sum(axis=1)
+        unsure[some] = (order[:, 1] - order[:, 0] < AMBIGUOUS) if cost.shape[1] > 1 else False
+    return label, score, unsure
+
+
 def languages(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score and ambiguous of every row."""
     kind = docs.schema[key].dataType
     rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text"))
 
     def predict(batches):
-        import numpy as np
         import pandas as pd
 
         for batch in batches:
-            label, score = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch))
-            unsure = np.ones(len(batch), bool)
-            if model is not None and len(batch):
-                values, sizes = bit_values(batch["text"], model.weights)
-                some = np.flatnonzero(sizes > 0)
-                cost = model.decode(values[some])
-                order = np.sort(cost, axis=1)
-                label[some] = np.array(model.languages, object)[cost.argmin(axis=1)]
-                score[some] = 1 / np.exp(order[:, :1] - order).sum(axis=1)
-                unsure[some] = (order[:, 1] - order[:, 0] < AMBIGUOUS) if cost.shape[1] > 1 else False
+            label, score, unsure = decided(batch["text"].tolist(), model)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": label, "score": score, "ambiguous": unsure})
 
     found = rows.mapInPandas(predict, "doc_id string, lang_pred string, score double, ambiguous boolean")
     return found.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumnRenamed("doc_id", key)
 
 
+def known_ones(docs: DataFrame, model: Model | None, *, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, in a learned language; unknown texts go, and those between languages below ``least``."""
+
+    def verdict(texts):
+        label, score, unsure = decided(texts, model)
+        return ((label != UNKNOWN) & ~(unsure & (score < least))).tolist()
+
+    return rows_where(docs, text, verdict)
+
+
 def op5_language(spark, sf_dir: str, learn_rows: int = 4000) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = learn(docs.where(learned(F.col("doc_id"), 3, 1)), learn_rows=learn_rows, seed=42)

@@ -142,19 +142,25 @@ def code_point_weights(docs: DataFrame, cycle: tuple[float, ...], source: str =
     return names.select("source", F.element_at(F.array(*map(F.lit, cycle)), (place % len(cycle) + 1).cast("int")).alias("weight"))
 
 
-def mix(docs: DataFrame, *, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, max_epochs: float = 2.0,
-        seed: int = 42, cut_documents: bool = True) -> DataFrame:
-    """``docs`` (doc_id, source, size, …) mixed by code-point weights to ``share`` of all sizes; see ``shares``."""
-    total = docs.agg(F.sum("size")).first()[0] or 0
-    planned = plan(docs, code_point_weights(docs, cycle), share * total, max_epochs=max_epochs, seed=seed)
-    return shares(docs, planned, seed=seed, cut_documents=cut_documents)
+def by_code_points(sizes: DataFrame, *, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5,
+                   max_epochs: float = 2.0, seed: int = 42) -> DataFrame:
+    """The plan for sizes (doc_id, source, size) with code-point weights and a budget of ``share`` of all sizes."""
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    return plan(sizes, code_point_weights(sizes, cycle), share * total, max_epochs=max_epochs, seed=seed)
+
+
+def repeated(shared: DataFrame) -> DataFrame:
+    """The mix of whole documents: a row per repetition."""
+    return shared.withColumn("copy", F.explode(F.expr("IF(epochs > 0, sequence(1L, epochs), array())"))).drop(
+        "copy", "epochs", "part_words"
+    )
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     taken = F.col("epochs") * F.col("size") + F.col("part_words")
-    return mix(sized).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return shares(sized, by_code_points(sized), seed=42).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 OP1_SQL = r"""

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cardwatch.llm.common import bounded_sample, held, learned, table
+from cardwatch.llm.common import bounded_sample, held, learned, rows_where, table
 from cardwatch.runtime import lookup_join
 
 #: lines of a document learned from, lines of a batch scored together
@@ -168,39 +168,42 @@ def learn(docs: DataFrame, labels: DataFrame, *, learn_rows: int, seed: int):
     return weights, transition
 
 
-def quality(docs: DataFrame, model, *, key: str = "doc_id", text: str = "text", threshold: float = GOOD) -> DataFrame:
-    """key, n_lines, score and predicted of every row."""
-    kind = docs.schema[key].dataType
-    rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text"))
+def scored(texts, model):
+    """(number of lines, score) of texts, in runs of about ``BATCH_LINES`` lines."""
+    import numpy as np
 
     def finish(part):
-        import numpy as np
-        import pandas as pd
-
-        starts = np.concatenate([[0], np.cumsum([len(x) for _, x, _ in part])])
-        sizes = np.concatenate([s for _, _, s in part]) + 1  # a line counts with its line end
+        starts = np.concatenate([[0], np.cumsum([len(x) for x, _ in part])])
+        sizes = np.concatenate([s for _, s in part]) + 1  # a line counts with its line end
         if isinstance(model, float):
             good = np.full(len(sizes), model)
         else:
-            inputs = with_neighbours(np.vstack([x for _, x, _ in part]), starts).astype(np.float64)
+            inputs = with_neighbours(np.vstack([x for x, _ in part]), starts).astype(np.float64)
             good = Chains(starts).run(inputs @ model[0], model[1])[1][:, 1]
         score = np.add.reduceat(good * sizes, starts[:-1]) / np.add.reduceat(sizes, starts[:-1])
-        return pd.DataFrame({
-            "doc_id": [d for d, _, _ in part], "n_lines": np.diff(starts), "score": np.clip(score, 0, 1),
-        })
+        return list(zip(np.diff(starts).tolist(), np.clip(score, 0, 1).tolist(), strict=True))
+
+    out, part, waiting = [], [], 0
+    for text in texts:
+        part.append(line_features(text or ""))
+        waiting += len(part[-1][1])
+        if waiting >= BATCH_LINES:
+            out += finish(part)
+            part, waiting = [], 0
+    return out + (finish(part) if part else [])
+
+
+def quality(docs: DataFrame, model, *, key: str = "doc_id", text: str = "text", threshold: float = GOOD) -> DataFrame:
+    """key, n_lines, score and predicted of every row."""
+    kind = docs.schema[key].dataType
+    rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text"))
 
     def score(batches):
+        import pandas as pd
+
         for batch in batches:
-            part, held_ = [], 0
-            for doc, body in zip(batch["doc_id"], batch["text"], strict=True):
-                found, sizes = line_features(body or "")
-                part.append((doc, found, sizes))
-                held_ += len(sizes)
-                if held_ >= BATCH_LINES:
-                    yield finish(part)
-                    part, held_ = [], 0
-            if part:
-                yield finish(part)
+            found = pd.DataFrame(scored(batch["text"], model), columns=["n_lines", "score"])
+            yield found.assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "n_lines", "score"]]
 
     found = rows.mapInPandas(score, "doc_id string, n_lines long, score double")
     return found.select(
@@ -208,6 +211,11 @@ def quality(docs: DataFrame, model, *, key: str = "doc_id", text: str = "text",
     )
 
 
+def good_ones(docs: DataFrame, model, *, text: str = "text", threshold: float = GOOD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is predicted good."""
+    return rows_where(docs, text, lambda texts: [s >= threshold for _, s in scored(texts, model)])
+
+
 def allowed(labels: DataFrame) -> DataFrame:
     """Labels that may be learned from: of a known id whose crc32 modulo 4 is not 2."""
     return labels.where(learned(F.col("doc_id"), 4, 2))
