@@ -125,14 +125,24 @@ def shares(docs: DataFrame, planned: DataFrame, *, seed: int, source: str = "sou
 
 def materialize(shared: DataFrame, text: str = "text") -> DataFrame:
     """The mix itself: one row per repetition, numbered ``copy`` from 0; a part is the text up to its last word taken."""
-    head = F.regexp_extract(
-        F.col(text), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*" + WORD + "){"), F.col("part_words").cast("string"), F.lit("}")), 0
-    )
-    whole = shared.where(F.col("epochs") > 0).withColumn(
-        "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1))
-    )
-    parts = shared.where(F.col("part_words") > 0).withColumn("copy", F.col("epochs")).withColumn(text, head)
-    return whole.unionByName(parts).drop("epochs", "part_words")
+
+    def cut(batches):
+        import itertools
+        import re
+
+        import pyarrow as pa
+
+        word = re.compile(WORD)
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            taken = zip(batch.column(at).to_pylist(), batch.column("part_words").to_pylist(), strict=True)
+            heads = [t[:next(itertools.islice(word.finditer(t), n - 1, None)).end()] for t, n in taken]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(heads, batch.schema.field(at).type))
+
+    clear = shared.drop("copy")
+    whole = clear.where(F.col("epochs") > 0).withColumn("copy", F.explode(F.expr("sequence(0L, epochs - 1)")))
+    parts = clear.where(F.col("part_words") > 0).withColumn("copy", F.col("epochs"))
+    return whole.unionByName(parts.mapInArrow(cut, parts.schema)).drop("epochs", "part_words")
 
 
 def code_point_weights(docs: DataFrame, cycle: tuple[float, ...], source: str = "source") -> DataFrame:
