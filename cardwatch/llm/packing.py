@@ -12,6 +12,7 @@ separate documents; an empty table has no pieces; only the key and text columns
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
@@ -25,8 +26,12 @@ END_ID = 0
 BUCKETS, DIMENSIONS, BITS = 256, 4, 15
 #: ids aimed at in one range
 IDS_PER_RANGE = 4_000_000
-#: bytes of text encoded at once
+#: most ids of one stored row; longer documents are rows of several blocks, so ranges of equal rows hold like numbers of ids
+BLOCK = 4096
+#: characters of text encoded at once
 CHUNK = 4_000_000
+ROW = "doc_id string, curve long, tie long, start long, doc_tokens long, n long, ids binary"
+PACKED = ["doc_id", "start", "doc_tokens", "ids"]
 PIECES = "doc_id string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -70,7 +75,7 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 
 def encoder(tokenizer_json: str, seed: int):
-    """mapInPandas function: (doc_id, text) to (doc_id, n, ids, curve)."""
+    """mapInPandas function: (doc_id, text) to blocks (``ROW``); a document's last block ends with ``END_ID``."""
 
     def encode(batches):
         import numpy as np
@@ -80,7 +85,8 @@ def encoder(tokenizer_json: str, seed: int):
         random = np.random.default_rng(seed)
         bucket = random.integers(0, BUCKETS, bpe.size)
         matrix = random.standard_normal((BUCKETS, DIMENSIONS))
-        top = (1 << BITS) - 1
+        top, width = (1 << BITS) - 1, bpe.kind.itemsize
+        end, count, names = END_ID.to_bytes(width, "little"), 0, [c.split()[0] for c in ROW.split(", ")]
         for batch in batches:
             texts = batch["text"].fillna("").tolist()
             for at, part in chunks(texts):
@@ -89,11 +95,15 @@ def encoder(tokenizer_json: str, seed: int):
                 vector = np.sqrt(counts)
                 vector /= np.maximum(np.sqrt((vector ** 2).sum(axis=1, keepdims=True)), 1e-12)
                 points = np.clip((vector @ matrix + 4) / 8, 0, 1) * top
-                yield pd.DataFrame({
-                    "doc_id": batch["doc_id"].iloc[at:at + len(part)].to_numpy(),
-                    "n": [len(x) // bpe.kind.itemsize + 1 for x in ids], "ids": ids,
-                    "curve": hilbert(points.astype(np.int64), BITS),
-                })
+                curve = hilbert(points.astype(np.int64), BITS)
+                rows = []
+                for doc, key, own in zip(batch["doc_id"].iloc[at:at + len(part)], curve.tolist(), ids, strict=True):
+                    count, own = count + 1, own + end
+                    tie, total = zlib.crc32(own) << 31 | count & 0x7FFFFFFF, len(own) // width
+                    for start in range(0, total, BLOCK):
+                        block = own[start * width:(start + BLOCK) * width]
+                        rows.append((doc, key, tie, start, total, len(block) // width, block))
+                yield pd.DataFrame(rows, columns=names)
 
     return encode
 
@@ -127,9 +137,9 @@ def packer(length: int, width: int):
         names = [c.split()[0] for c in PIECES.split(", ")]
         for batch in batches:
             rows = []
-            for doc, total, ids in zip(batch["doc_id"].tolist(), batch["n"].tolist(), batch["ids"].tolist(), strict=True):
-                waiting.append((doc, 0, total, np.append(np.frombuffer(ids, kind), END_ID).astype("<u4")))
-                open_ids += total
+            for doc, start, total, ids in zip(*(batch[c].tolist() for c in PACKED), strict=True):
+                waiting.append((doc, start, total, np.frombuffer(ids, kind).astype("<u4")))
+                open_ids += len(waiting[-1][3])
                 while open_ids >= length:
                     rows += cut(waiting, sequence, length)
                     sequence, open_ids = sequence + 1, open_ids - length
@@ -162,13 +172,11 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, length: int = LENGTH,
     source = tokenizer_file(tokenizer)
     width = ByteBpe(source).kind.itemsize
     rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text"))  # exact in pandas, nulls too
-    encoded = rows.mapInPandas(encoder(source, seed), "doc_id string, n long, ids binary, curve long")
-    tie = F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("tie")
-    tokens = stored(encoded.select("*", tie), "pack-ids", compression="zstd")
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    order = ["curve", "doc_id", "tie"]
-    ranges = tokens.repartitionByRange(int(-(-total // IDS_PER_RANGE)) or 1, *order).sortWithinPartitions(*order)
-    pieces = ranges.select("doc_id", "n", "ids").mapInPandas(packer(length, width), PIECES)
+    blocks = stored(rows.mapInPandas(encoder(source, seed), ROW), "pack-ids", compression="zstd")
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    order = ["curve", "doc_id", "tie", "start"]
+    ranges = blocks.repartitionByRange(int(-(-total // IDS_PER_RANGE)) or 1, *order).sortWithinPartitions(*order)
+    pieces = ranges.select(PACKED).mapInPandas(packer(length, width), PIECES)
     return pieces.withColumn("doc_id", F.col("doc_id").cast(docs.schema[key].dataType))
 
 
