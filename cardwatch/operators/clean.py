@@ -60,8 +60,13 @@ def add_keys(df: DataFrame, anchored: bool = True) -> DataFrame:
     )
 
 
+def keyed_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with a card key, rows without one): an unreadable number, birth date or zip leaves no card to belong to."""
+    return df.where(F.col("card_uid").isNotNull()), df.where(F.col("card_uid").isNull())
+
+
 def clean(df: DataFrame, find_empty: bool = True) -> DataFrame:
-    """The whole batch cleaning step."""
+    """The whole batch cleaning step. Rows without a card key stay in, with a null key; ``keyed_rows`` parts them."""
     trimmed = drop_junk_columns(drop_empty_columns(df) if find_empty else df)
     return add_keys(distinct_rows(drop_columns(trimmed, PERSONAL_COLUMNS).withColumn(
         "zip", text.strip(F.col("zip")))))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cardwatch.operators.running import running_sums, value_chunk
-from cardwatch.runtime import lookup_join
+from cardwatch.runtime import lookup_join, stored
 from cardwatch.schema import F1_EPSILON, HISTOGRAM_BINS
 
 
@@ -83,11 +83,10 @@ def curve_summary(points: DataFrame) -> DataFrame:
 def confusion(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     """tn, fp, fn, tp per model at its threshold (table model, threshold)."""
     flagged = F.col("prob") >= F.col("threshold")
-    # scores collapse to distinct values before the join with the model table
-    counted = scores.groupBy("model", "prob", "y").agg(F.count("*").alias("n"))
-    total = lambda cond, name: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).alias(name)
-    return lookup_join(counted, thresholds.select("model", "threshold"), "model", "inner").groupBy(
-        "model", "threshold").agg(
+    # one row per model is broadcast, so four counters per model are all that is shuffled
+    limits = stored(thresholds.select("model", "threshold"), "limits")
+    total = lambda cond, name: F.count_if(cond).alias(name)
+    return lookup_join(scores, limits, "model", "inner").groupBy("model", "threshold").agg(
         total(~flagged & (F.col("y") == 0), "tn"), total(flagged & (F.col("y") == 0), "fp"),
         total(~flagged & (F.col("y") == 1), "fn"), total(flagged & (F.col("y") == 1), "tp"),
     )
@@ -139,16 +138,19 @@ def compare_models(scores: DataFrame) -> DataFrame:
 
 
 def score_histogram(scores: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Counts per model, class and bin over that class's own score range; the last bin is closed."""
+    """Counts per model, class and bin over that class's own score range; the last bin is closed.
+
+    The few ranges are found first and broadcast; bins are then counted map-side.
+    """
     groups = scores.groupBy("model", "y").agg(F.min("prob").alias("lo"), F.max("prob").alias("hi"))
     # one value only: the range opens by half a unit on each side
     flat = F.col("lo") == F.col("hi")
     groups = groups.select("model", "y", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
                            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+    groups = stored(groups, "score-ranges")
     position = F.floor((F.col("prob") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
-    counted = scores.groupBy("model", "y", "prob").agg(F.count("*").alias("n"))
-    filled = lookup_join(counted, groups, ["model", "y"], "inner").withColumn(
-        "bin", F.least(position, F.lit(bins - 1))).groupBy("model", "y", "bin").agg(F.sum("n").alias("n"))
+    filled = lookup_join(scores, groups, ["model", "y"], "inner").withColumn(
+        "bin", F.least(position, F.lit(bins - 1))).groupBy("model", "y", "bin").agg(F.count("*").alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
     every_bin = F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))
     grid = groups.select("model", "y", "lo", "hi", F.explode(every_bin).alias("bin"))
@@ -163,7 +165,8 @@ def corner_points(points: DataFrame) -> DataFrame:
     Within a model the next point is found per score range; the first step of the following range
     is carried in from the table of range starts.
     """
-    chunked = value_chunk(points, "threshold")
+    points = stored(points, "curve")
+    chunked = value_chunk(points, "threshold", points.count())
     step = F.struct("pos", "n")
     inside = W.partitionBy("model", "chunk").orderBy(F.desc("threshold"))
     starts = chunked.groupBy("model", "chunk").agg(F.max_by(step, "threshold").alias("first_step"))

@@ -10,6 +10,7 @@ from cardwatch.schema import (
 )
 
 STATUSES = ["Safe", "Uncertain", "Fraud"]
+REJECTED = "Rejected"
 
 
 def rule_score(amt: Column) -> Column:
@@ -50,6 +51,14 @@ def add_tiers(df: DataFrame, compat: bool = False) -> DataFrame:
     })
 
 
+def refuse(df: DataFrame) -> DataFrame:
+    """The answer to rows that break the contract: no score, visibly rejected."""
+    return df.withColumns({
+        "fraud_probability": F.lit(None).cast("double"), "is_fraud_predicted": F.lit(None).cast("boolean"),
+        "status": F.lit(REJECTED), "threshold": F.lit(None).cast("double"), "model_used": F.lit(None).cast("string"),
+    })
+
+
 def normalised(p: Column) -> Column:
     """A score given as a percentage becomes a share."""
     return F.when(p > 1, p / 100).otherwise(p)
@@ -81,12 +90,16 @@ def status_summary(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def nested_response(scored: DataFrame, members: list[str] = ()) -> DataFrame:
-    """Rows back into one response per request, in the order of the request."""
+    """Rows back into one response per request, in the order of the request.
+
+    ``n_transactions`` is the number sent where rows carry it (``n_sent``); a row without a place makes an empty answer.
+    """
     fields = ["fraud_probability", "is_fraud_predicted", "status", "threshold", "model_used",
               *[f"{m}_score" for m in members]]
-    entry = F.struct("pos", *fields)
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", *fields))
+    sent = F.max("n_sent") if "n_sent" in scored.columns else F.count("*")
     return scored.groupBy("request_id").agg(
-        F.sort_array(F.collect_list(entry)).alias("rows"), F.count("*").alias("n_transactions"),
+        F.sort_array(F.collect_list(entry)).alias("rows"), sent.alias("n_transactions"),
     ).select(
         "request_id", "n_transactions",
         F.transform("rows", lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias("predictions"),

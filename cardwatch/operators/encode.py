@@ -40,12 +40,18 @@ def fit_vocabulary(train: DataFrame, columns: list[str] = CATEGORICAL) -> DataFr
         "column", "value", (F.col("ahead") + F.row_number().over(inside) - 1).cast("int").alias("code"))
 
 
-def encode(df: DataFrame, vocabulary: DataFrame, columns: list[str] = CATEGORICAL, suffix: str = "") -> DataFrame:
+def vocabulary_facts(vocabulary: DataFrame) -> tuple[dict, dict]:
+    """Per column the number of codes and the code of ``<unseen>``."""
+    rows = vocabulary.groupBy("column").agg(
+        F.count("*").alias("n"), F.max(F.when(F.col("value") == UNSEEN, F.col("code"))).alias("unseen")).collect()
+    return {r["column"]: r["n"] for r in rows}, {r["column"]: r["unseen"] for r in rows}
+
+
+def encode(df: DataFrame, vocabulary: DataFrame, columns: list[str] = CATEGORICAL, suffix: str = "",
+           facts: tuple[dict, dict] | None = None) -> DataFrame:
     """Replace each categorical value by its code; unknown values get the code of ``<unseen>``."""
     limit = setting(df.sparkSession, "broadcastRows", BROADCAST_ROWS)
-    facts = vocabulary.where(F.col("column").isin(columns)).groupBy("column").agg(
-        F.count("*").alias("n"), F.max(F.when(F.col("value") == UNSEEN, F.col("code"))).alias("unseen")).collect()
-    sizes, unseen = ({r["column"]: r[what] for r in facts} for what in ("n", "unseen"))
+    sizes, unseen = facts or vocabulary_facts(vocabulary)
     for name in columns:
         table = vocabulary.where(F.col("column") == name).select(
             F.col("value").alias("_value"), F.col("code").alias("_code"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cardwatch.functions.scalar import haversine_km
 from cardwatch.operators.running import range_chunks, range_count
-from cardwatch.runtime import MAX_HOT_KEYS, ROWS_PER_RANGE, HotKeys, bounded, setting
+from cardwatch.runtime import ROWS_PER_RANGE, HotKeys, bounded, setting
 from cardwatch.schema import DAY_S, HISTORY_ROWS, HOUR_S, ROLLING_ROWS, WEEK_S
 
 VELOCITY = {"uid_txn_1h": HOUR_S, "uid_txn_24h": DAY_S, "uid_txn_7d": WEEK_S}
@@ -23,7 +23,8 @@ _ORDER = ["unix_time", "trans_num"]
 
 
 def _card(*order):
-    return W.partitionBy("card_uid").orderBy(*order)
+    """By card; rows without one are parted by their id, so they share neither a task nor a history."""
+    return W.partitionBy("card_uid", F.when(F.col("card_uid").isNull(), F.col("trans_num"))).orderBy(*order)
 
 
 def _count_until(offset: int) -> Column:
@@ -65,7 +66,7 @@ def _carried(chunked: DataFrame) -> DataFrame:
         chunked.withColumn("tail", tail).groupBy("card_uid", "chunk")
         .agg(F.count("*").alias("n"), F.max_by("tail", F.struct(*_ORDER)).alias("tail"))
     )
-    across = _card("chunk")
+    across = W.partitionBy("card_uid").orderBy("chunk")
     return ends.select(
         "card_uid", "chunk",
         F.coalesce(F.sum("n").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"),
@@ -73,16 +74,16 @@ def _carried(chunked: DataFrame) -> DataFrame:
     )
 
 
-def _end_rows(n_rows: int, per_range: int) -> int:
+def _end_rows(n_rows: int, per_range: int, cards: int) -> int:
     """Each range and each heavy card starts at most one (card, range) pair."""
-    return range_count(n_rows, per_range) + MAX_HOT_KEYS
+    return range_count(n_rows, per_range) + cards
 
 
 def _last(rows: Column, n: int) -> Column:
     return F.slice(rows, F.greatest(F.size(rows) - (n - 1), F.lit(1)), n)
 
 
-def _older_counts(hot: DataFrame, n_rows: int, per_range: int) -> DataFrame:
+def _older_counts(hot: DataFrame, n_rows: int, per_range: int, cards: int) -> DataFrame:
     """Per (card, second): rows strictly before it, and before each window's start.
 
     Counts per second and one zero-weight marker per asked-for instant go through one ordered sum.
@@ -102,10 +103,10 @@ def _older_counts(hot: DataFrame, n_rows: int, per_range: int) -> DataFrame:
     ends = chunked.groupBy("card_uid", "chunk").agg(F.sum("n").alias("n")).select(
         "card_uid", "chunk",
         F.coalesce(F.sum("n").over(
-            _card("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"),
+            W.partitionBy("card_uid").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"),
     )
     inside = W.partitionBy("card_uid", "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    older = chunked.join(bounded(ends, _end_rows(n_events, per_range)), ["card_uid", "chunk"]).withColumn(
+    older = chunked.join(bounded(ends, _end_rows(n_events, per_range, cards)), ["card_uid", "chunk"]).withColumn(
         "older", F.col("ahead") + F.sum("n").over(inside)).where("kind = 0")
     return older.groupBy("card_uid", "unix_time").agg(*[
         F.max(F.when(F.col("slot") == i + 1, F.col("older"))).alias(name)
@@ -113,13 +114,13 @@ def _older_counts(hot: DataFrame, n_rows: int, per_range: int) -> DataFrame:
     ])
 
 
-def _ranged(hot: DataFrame, n_rows: int) -> DataFrame:
+def _ranged(hot: DataFrame, n_rows: int, cards: int) -> DataFrame:
     per_range = setting(hot.sparkSession, "rowsPerRange", ROWS_PER_RANGE)
     chunked = range_chunks(hot, ["card_uid", *_ORDER], n_rows, per_range, "hot-rows")
     inside = W.partitionBy("card_uid", "chunk").orderBy(*_ORDER)
     near = F.collect_list(F.struct("unix_time", "lat", "long", "amt")).over(inside.rowsBetween(-ROLLING_ROWS, -1))
     rows = (
-        chunked.join(bounded(_carried(chunked), _end_rows(n_rows, per_range)), ["card_uid", "chunk"])
+        chunked.join(bounded(_carried(chunked), _end_rows(n_rows, per_range, cards)), ["card_uid", "chunk"])
         .withColumn("prior", _last(F.concat("carry", near), ROLLING_ROWS))
         .withColumn("rank", F.col("rows_before") + F.row_number().over(inside))
     )
@@ -138,18 +139,21 @@ def _ranged(hot: DataFrame, n_rows: int) -> DataFrame:
     for name, seconds in VELOCITY.items():
         columns[name] = F.col("rank") - 1 - F.col(f"older_{seconds}")
         columns[f"{name}_strict"] = F.col("older_0") - F.col(f"older_{seconds}")
-    joined = rows.join(_older_counts(hot, n_rows, per_range), ["card_uid", "unix_time"])
+    joined = rows.join(_older_counts(hot, n_rows, per_range, cards), ["card_uid", "unix_time"])
     return joined.withColumns(columns).select(*hot.columns, "prior_mean", *columns)
 
 
 def with_history(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    """Add all history columns; ``prior_mean`` is null on a card's first row."""
+    """Add all history columns; ``prior_mean`` is null on a card's first row.
+
+    Rows without a card key are strangers to each other: each is dealt out as a card of its own.
+    """
     hot = HotKeys(df, "card_uid") if hot is None else hot
     wanted = [*df.columns, *COLUMNS, *STRICT_COLUMNS]
     plain = _windowed(hot.rest(df)).select(*wanted)
     if not hot:
         return plain
-    return plain.unionByName(_ranged(hot.pick(df), hot.rows).select(*wanted))
+    return plain.unionByName(_ranged(hot.pick(df), hot.rows, hot.count).select(*wanted))
 
 
 def fill_rolling(df: DataFrame, fill_mean: Column) -> DataFrame:

@@ -11,21 +11,23 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cardwatch.runtime import ROWS_PER_RANGE, setting, stored
 
-_LEVELS = 10  # 2**10 value ranges
-_HEX_DIGITS = 3  # 16**3 hash ranges
+#: least and most halvings of the value range; 2**16 ranges of ROWS_PER_RANGE rows are 6 * 10**10 distinct scores
+_LEVELS = (4, 16)
 
 
-def value_chunk(df: DataFrame, column: str, source: DataFrame | None = None) -> DataFrame:
-    """Add ``chunk``: which of 1024 about equally filled value ranges a number falls in.
+def value_chunk(df: DataFrame, column: str, rows: int, source: DataFrame | None = None) -> DataFrame:
+    """Add ``chunk``: which of about equally filled value ranges a number falls in.
 
-    The range limits are quantiles of the whole column, found in one aggregate. They only balance
-    the work; equal values share a chunk and order is kept, so they cannot change a result.
+    There are enough ranges for ``rows`` rows at ROWS_PER_RANGE each. The range limits are quantiles of the whole column, found in
+    one aggregate. They only balance the work; equal values share a chunk and order is kept, so they cannot change a result.
     """
-    parts = 2 ** _LEVELS
+    wanted = 4 * rows // setting(df.sparkSession, "rowsPerRange", ROWS_PER_RANGE)
+    levels = min(max(wanted.bit_length(), _LEVELS[0]), _LEVELS[1])
+    parts = 2 ** levels
     limits = (source or df).agg(
-        F.percentile_approx(column, F.lit([i / parts for i in range(1, parts)]), 20_000).alias("limits")
+        F.percentile_approx(column, F.lit([i / parts for i in range(1, parts)]), 20 * parts).alias("limits")
     ).scalar()
-    steps = F.array(*[F.lit(2 ** k) for k in reversed(range(_LEVELS))])
+    steps = F.array(*[F.lit(2 ** k) for k in reversed(range(levels))])
     search = F.aggregate(
         steps, F.lit(0),
         lambda at, step: F.when(F.get(F.col("_limits"), at + step - 1) < F.col(column), at + step).otherwise(at),
@@ -44,12 +46,13 @@ def running_sums(points: DataFrame, group: list[str], order: str, sums: list[str
     points = stored(points, "points")
     direction = F.desc if descending else F.asc
     upto = lambda keys: W.partitionBy(*keys).orderBy(direction(order)).rowsBetween(W.unboundedPreceding, 0)
-    if points.count() <= setting(spark, "rowsPerRange", ROWS_PER_RANGE):
+    rows = points.count()
+    if rows <= setting(spark, "rowsPerRange", ROWS_PER_RANGE):
         return points.withColumns({
             **{f"run_{c}": F.sum(c).over(upto(group)) for c in sums},
             **{f"all_{c}": F.sum(c).over(W.partitionBy(*group)) for c in sums},
         })
-    chunked = value_chunk(points, order)
+    chunked = value_chunk(points, order, rows)
     ahead = W.partitionBy(*group).orderBy(direction("chunk")).rowsBetween(W.unboundedPreceding, -1)
     totals = (
         chunked.groupBy(*group, "chunk").agg(*[F.sum(c).alias(f"part_{c}") for c in sums])
@@ -82,6 +85,12 @@ def hash_key(column: Column, seed: int | None = None) -> Column:
     return F.md5(salted)
 
 
+def hex_digits(df: DataFrame) -> int:
+    """Length of the hash prefixes that leave at most a range's rows in one prefix (hashes fill evenly)."""
+    wanted = 2 * df.count() // setting(df.sparkSession, "rowsPerRange", ROWS_PER_RANGE)
+    return max(1, -(-wanted.bit_length() // 4))
+
+
 def _hash_totals(chunked: DataFrame, group: list[str]) -> DataFrame:
     """Rows per (group, hash prefix), rows in earlier prefixes, rows in the group."""
     over_group = W.partitionBy(*group)
@@ -99,10 +108,10 @@ def _hash_totals(chunked: DataFrame, group: list[str]) -> DataFrame:
 def hash_cutoffs(keyed: DataFrame, group: list[str], key: str, size: Column) -> DataFrame:
     """Per group the hash of its ``size``-th row in hash order; ``size`` may use ``group_rows``.
 
-    Prefix counts show in which prefix the cut lies; only the rows of that prefix (one in 4096)
-    are then sorted. Taking the rows up to the cut is a comparison: the rows never move.
+    Prefix counts show in which prefix the cut lies; only the rows of that prefix are then sorted, and prefixes are as long
+    as the counted rows need. Taking the rows up to the cut is a comparison: the rows never move.
     """
-    chunked = keyed.select(*group, key, F.substring(key, 1, _HEX_DIGITS).alias("chunk"))
+    chunked = keyed.select(*group, key, F.substring(key, 1, hex_digits(keyed)).alias("chunk"))
     crossing = (
         _hash_totals(chunked, group).withColumn("size", size)
         .where((F.col("ahead") < F.col("size")) & (F.col("size") <= F.col("ahead") + F.col("part")))
@@ -121,7 +130,7 @@ def hash_rank(df: DataFrame, group: list[str], key: str, tie: str) -> DataFrame:
 
     Hash prefixes fill evenly, so they serve as chunks without looking at the data.
     """
-    chunked = df.withColumn("chunk", F.substring(key, 1, _HEX_DIGITS))
+    chunked = df.withColumn("chunk", F.substring(key, 1, hex_digits(df)))
     totals = _hash_totals(chunked, group).select(*group, "chunk", "ahead")
     inside = W.partitionBy(*group, "chunk").orderBy(key, tie)
     return chunked.join(totals, [*group, "chunk"]).withColumn(

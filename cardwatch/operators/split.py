@@ -55,8 +55,9 @@ def balanced_folds(df: DataFrame, folds: int = CV_FOLDS) -> DataFrame:
         F.col("n_rows").alias("size"), F.coalesce(F.sum("cards").over(larger), F.lit(0)).alias("ahead_cards"))
     ranked = hash_rank(cards, ["n_rows"], "key", "card_uid")
     turn = (F.col("ahead_cards") + F.col("rank") - 1) % (2 * folds)
+    # distinct sizes are at most the root of twice the rows; most cards share a few of them
     return (
-        ranked.join(sizes, ranked["n_rows"] == sizes["size"])
+        lookup_join(ranked.withColumn("size", F.col("n_rows")), stored(sizes, "sizes"), "size", "inner")
         .select("card_uid", "n_rows",
                 F.when(turn < folds, turn).otherwise(2 * folds - 1 - turn).cast("int").alias("fold"))
     )
@@ -69,7 +70,8 @@ def with_balanced_fold(df: DataFrame, folds: int = CV_FOLDS) -> DataFrame:
 def _up_to(df: DataFrame, size: Column, key: str, seed: int, label: str) -> Column:
     """True for the first ``size`` rows of each class in hash order."""
     hashed = hash_key(F.col(key), seed)
-    limits = hash_cutoffs(df.select(label, hashed.alias("_key")), [label], "_key", size).limit(MAX_CLASSES + 1).collect()
+    keys = stored(df.select(label, hashed.alias("_key")), "hash-keys")
+    limits = hash_cutoffs(keys, [label], "_key", size).limit(MAX_CLASSES + 1).collect()
     if len(limits) > MAX_CLASSES:
         raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
     taken = F.lit(False)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cardwatch.functions.scalar import clip
 from cardwatch.operators.running import exact_medians
-from cardwatch.runtime import HotKeys, lookup_join, one_row
+from cardwatch.runtime import HotKeys, bounded, lookup_join, one_row
 from cardwatch.schema import EPSILON, SMOOTHING_WEIGHT, TARGET
 
 LOCATION_DEFAULTS = {"uid_unique_locs": 1, "uid_loc_std_lat": 0.0, "uid_loc_std_lon": 0.0}
@@ -64,14 +64,16 @@ def category_fallback(categories: DataFrame) -> DataFrame:
     )
 
 
-def join_location(df: DataFrame, stats: DataFrame, hot: HotKeys | None = None) -> DataFrame:
-    """Cards without training rows get the defaults. The few heavy cards' stats are broadcast,
-    the rest joins by card, so a heavy card never lands in one task."""
+def join_location(df: DataFrame, stats: DataFrame, hot: HotKeys | None = None, fits: bool | None = None) -> DataFrame:
+    """Cards without training rows get the defaults. The heavy cards' stats, one row each, are broadcast if their count
+    allows; the rest joins by card, so a heavy card never lands in one task. ``fits`` tells that all stats may be broadcast."""
     if hot:
         joined = hot.rest(df).join(hot.rest(stats), "card_uid", "left").unionByName(
-            hot.pick(df).join(F.broadcast(hot.pick(stats)), "card_uid", "left"))
-    else:
+            hot.pick(df).join(bounded(hot.pick(stats), hot.count), "card_uid", "left"))
+    elif fits is None:
         joined = lookup_join(df, stats, "card_uid")
+    else:
+        joined = df.join(F.broadcast(stats) if fits else stats, "card_uid", "left")
     return joined.fillna(LOCATION_DEFAULTS)
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,8 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 500_000
 #: a card with more rows than this is split over several tasks
 HOT_KEY_ROWS = 2_000_000
-#: the heaviest keys handled apart; any other key holds at most 1/MAX_HOT_KEYS of the rows
-MAX_HOT_KEYS = 10_000
 #: aimed-at rows per task where a hot key is cut into ranges
 ROWS_PER_RANGE = 1_000_000
 
@@ -48,13 +49,43 @@ def shared_dir(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="cardwatch-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="cardwatch-")
+    return _LOCAL_FOLDERS[application]
+
+
+#: fallback folders of local masters by application, since the setting cannot be changed on a running session
+_LOCAL_FOLDERS: dict[str, str] = {}
+#: folder of the innermost run whose intermediates go when it ends
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/cardwatch/{name}-{uuid.uuid4().hex}"
+    return f"{_RUN.get() or shared_dir(spark) + '/cardwatch'}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside go to one folder that is deleted at the end; write what must last elsewhere."""
+    path = fresh_path(spark, "run")
+    token = _RUN.set(path)
+    try:
+        yield
+    finally:
+        _RUN.reset(token)
+        remove(spark, path)
+
+
+def own_context(fn: Callable) -> Callable:
+    """``fn`` for a thread pool, with the run folder of the thread that asks for it."""
+    context = copy_context()
+    return lambda *args: context.copy().run(fn, *args)
 
 
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -78,6 +109,10 @@ def lookup_join(df: DataFrame, table: DataFrame, on: str | list[str], how: str =
     return df.join(F.broadcast(table) if at_most(table, limit) else table, on, how)
 
 
+def fits_broadcast(table: DataFrame) -> bool:
+    return at_most(table, setting(table.sparkSession, "broadcastRows", BROADCAST_ROWS))
+
+
 def bounded(table: DataFrame, rows: int) -> DataFrame:
     """Mark a table for broadcast when its row count, known to be at most ``rows``, is small."""
     small = rows <= setting(table.sparkSession, "broadcastRows", BROADCAST_ROWS)
@@ -96,27 +131,25 @@ def literal_row(table: DataFrame) -> Column:
 
 
 class HotKeys:
-    """The heaviest keys of a column, at most MAX_HOT_KEYS of them, with their row counts."""
+    """The keys with more rows than one task should hold, as a stored table; null is no key.
+
+    There are at most rows / HOT_KEY_ROWS of them, so the table stays small; it is broadcast only if its count allows.
+    """
 
     def __init__(self, df: DataFrame, key: str):
         spark = df.sparkSession
         floor = setting(spark, "hotKeyRows", HOT_KEY_ROWS)
-        top = (
-            df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > floor)
-            .orderBy(F.desc("n")).limit(MAX_HOT_KEYS).collect()
-        )
+        heavy = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > floor)
+        table = stored(heavy, "hot-keys")
         self.key = key
-        self.rows = sum(r["n"] for r in top)
-        self.keys = [r[key] for r in top if r[key] is not None]
-        self._table = (
-            spark.createDataFrame([(k,) for k in self.keys], df.select(key).schema) if self.keys else None
-        )
+        self.count, self.rows = (n or 0 for n in table.agg(F.count("*"), F.sum("n")).first())
+        self._keys = bounded(table.select(key), self.count)
 
     def __bool__(self) -> bool:
-        return bool(self.keys)
+        return self.count > 0
 
     def pick(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self._table), self.key, "left_semi")
+        return df.join(self._keys, self.key, "left_semi")
 
     def rest(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self._table), self.key, "left_anti") if self.keys else df
+        return df.join(self._keys, self.key, "left_anti") if self else df

@@ -69,6 +69,20 @@ def txn_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def txn_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second source: order lines as events of other cards, at a second of the day that the line's keys decide."""
+    lines, orders = (table(spark, sf_dir, n) for n in ("lineitem", "orders"))
+    number = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("bigint")
+    kinds = F.array(*[F.lit(k) for k in ("view", "signup", "click", "error", "purchase")])
+    start = F.col("l_shipdate").cast("timestamp_ntz")
+    events = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        number.alias("event_id"), (F.col("o_custkey") + 1_000_000).cast("bigint").alias("user_id"),
+        (start + F.make_dt_interval(secs=(number * 7919 % 86400).cast("decimal(18,6)"))).alias("ts"),
+        (F.col("l_extendedprice") / 200).cast("double").alias("value"),
+        F.get(kinds, (number % 5).cast("int")).alias("event_type"))
+    return transactions_from_events(events)
+
+
 def txn_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as card transactions: day-grain time, so a card has many rows per second value."""
     pin_utc(spark)
