@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -18,6 +18,10 @@ from cardwatch.runtime import stored
 from cardwatch.schema import ENSEMBLE, SEED, TARGET
 
 
+#: trees without a lower validation error after which boosting has ended (fixed value)
+PATIENCE = 50
+
+
 def _named(learner, name: str):
     """Own output columns per member, so several members can score one table."""
     return (learner.setRawPredictionCol(f"{name}_raw").setProbabilityCol(f"{name}_prob")
@@ -27,7 +31,7 @@ def _named(learner, name: str):
 def boosted_trees(name: str, **params) -> GBTClassifier:
     chosen = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
               "featureSubsetStrategy": "0.8", "minInstancesPerNode": 50, "seed": SEED, **params}
-    return _named(GBTClassifier(validationIndicatorCol="is_validation", **chosen), name)
+    return _named(GBTClassifier(**chosen), name)
 
 
 def random_forest(name: str, **params) -> RandomForestClassifier:
@@ -64,10 +68,41 @@ def training_matrix(train: DataFrame, features: list[str]) -> DataFrame:
         *keep, "features", F.col(TARGET).cast("double").alias(TARGET), "w", "is_validation"), "matrix")
 
 
-def fit_member(matrix: DataFrame, learner: Estimator):
-    """Boosted learners stop early on the validation rows; the others just leave those rows out."""
-    early = learner.hasParam("validationIndicatorCol") and learner.isDefined("validationIndicatorCol")
-    return learner.fit(matrix if early else matrix.where(~F.col("is_validation")))
+def fit_member(matrix: DataFrame, learner: Estimator, patience: int = PATIENCE):
+    """Fit without the validation rows. Of a boosted model the first trees stay, as many as the validation rows ask for."""
+    model = learner.fit(matrix.where(~F.col("is_validation")))
+    if not isinstance(model, GBTClassificationModel):
+        return model
+    errors = model.evaluateEachIteration(matrix.where("is_validation"))
+    return first_trees(model, trees_to_keep(errors, patience))
+
+
+def trees_to_keep(errors: list[float], patience: int) -> int:
+    """Trees up to the lowest error seen before ``patience`` trees in a row bring no lower one; all without any error."""
+    best = 0
+    for at, error in enumerate(errors):
+        if error < errors[best]:
+            best = at
+        elif at - best >= patience:
+            break
+    return best + 1 if errors and errors[best] == errors[best] else max(len(errors), 1)
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The boosted model cut to its first ``n`` trees, with the same columns."""
+    if n >= model.getNumTrees:
+        return model
+    gateway, java = SparkSession.getActiveSession().sparkContext._gateway, model._java_obj
+    jvm, trees = gateway.jvm.org.apache.spark.ml, java.trees()
+    kept = gateway.new_array(jvm.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for k in range(n):
+        kept[k], weights[k] = trees[k], java.treeWeights()[k]
+    short = GBTClassificationModel(jvm.classification.GBTClassificationModel(java.uid(), kept, weights))
+    for name in ("featuresCol", "labelCol", "predictionCol", "probabilityCol", "rawPredictionCol"):
+        short._set(**{name: model.getOrDefault(name)})
+    short._transfer_params_to_java()
+    return short
 
 
 @dataclass
@@ -122,8 +157,19 @@ def answer(scored: DataFrame, members: list[str], compat: bool = False) -> DataF
     return add_tiers(chosen, compat)
 
 
-def fit_calibration(scores: DataFrame, score: str, label: str = TARGET) -> IsotonicRegressionModel:
-    """Isotonic map from raw to calibrated score. Equal scores are first merged with their weight."""
+#: labelled rows a calibration is fitted on; its pools end on the driver, so they are bounded
+CALIBRATION_ROWS = 2_000_000
+
+
+def fit_calibration(scores: DataFrame, score: str, label: str = TARGET,
+                    max_rows: int = CALIBRATION_ROWS) -> IsotonicRegressionModel:
+    """Isotonic map from raw to calibrated score. Equal scores are first merged with their weight.
+
+    At most about ``max_rows`` labelled rows are used, drawn by a seeded generator; fewer are all used.
+    """
+    n = scores.count()
+    if n > max_rows:
+        scores = scores.withColumn("_n", F.rand(SEED)).where(F.col("_n") < max_rows / n).drop("_n")
     points = scores.groupBy(F.col(score).cast("double").alias("features")).agg(
         F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
     return IsotonicRegression(weightCol="weight").fit(points)

@@ -392,7 +392,8 @@ FROM tiered GROUP BY 1"""),
 SELECT model, round(prob, 6) AS threshold, round(p, 6) AS precision, round(r, 6) AS recall FROM curve
 UNION ALL SELECT DISTINCT model, NULL::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE FROM curve"""),
     "roc_curve": _curve("""
-SELECT model, round(prob, 6) AS threshold, round(fpr, 6) AS fpr, round(r, 6) AS tpr FROM curve"""),
+SELECT model, round(prob, 6) AS threshold, round(fpr, 6) AS fpr, round(r, 6) AS tpr FROM curve
+UNION ALL SELECT DISTINCT model, 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM curve"""),
     "roc_corners": _curve(f"""
 SELECT model, round(prob, 6) AS threshold, {_i('tp flagged')} FROM (
   SELECT *, lead(pos) OVER w AS next_pos, lead(n) OVER w AS next_n FROM curve
@@ -435,3 +436,97 @@ SELECT lpad(CAST(trans_num // 8 AS VARCHAR), 12, '0') AS request_id, count(*) AS
     "stream_registry_size": _sql(["base", "keyed"], "SELECT count(DISTINCT card_uid) AS card_registry_size FROM keyed"),
     "threshold_report": _curve("SELECT model, threshold FROM best"),
 }
+
+_NULLED = {"amt": 5, "age": 7, "hour": 3}
+
+
+def _holed(name: str) -> str:
+    return f"(CASE WHEN trans_num % {_NULLED[name]} <> 0 THEN {name} END)" if name in _NULLED else name
+
+
+_PAIRS_NULLS = "\nUNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({_holed(a)}::DOUBLE, {_holed(b)}::DOUBLE)) AS r FROM pop WHERE split = 'train'"
+    for j, b in enumerate(_IMPORTANCES) for a in _IMPORTANCES[:j])
+_DAMAGED = "(unix_time % 13 = 0 OR unix_time % 17 = 0 OR unix_time % 19 = 0)"
+_PRUNE = _KEPT | {
+    "paired": f"""
+SELECT a, b, r FROM ({_PAIRS}) UNION ALL SELECT b, a, r FROM ({_PAIRS})""",
+    "pairs": """
+SELECT row_number() OVER (ORDER BY y.rank, x.rank) AS k, x.feature AS a, y.feature AS b, y.rank AS j,
+  x.importance AS wa, y.importance AS wb
+FROM kept x JOIN kept y ON x.rank < y.rank JOIN paired c ON c.a = x.feature AND c.b = y.feature WHERE c.r > 0.9""",
+    "walk": """
+SELECT 0::BIGINT AS k, []::VARCHAR[] AS gone, 0::BIGINT AS j, false AS skip
+UNION ALL
+SELECT n.k, CASE WHEN NOT n.skip AND NOT list_contains(n.gone, n.a)
+  THEN list_append(n.gone, CASE WHEN n.wb < n.wa THEN n.b ELSE n.a END) ELSE n.gone END, n.j, n.skip
+FROM (SELECT p.k, w.gone, p.j, CASE WHEN p.j <> w.j THEN list_contains(w.gone, p.b) ELSE w.skip END AS skip, p.a, p.b, p.wa, p.wb
+      FROM walk w JOIN pairs p ON p.k = w.k + 1) n""",
+}
+_FIT = {
+    "scored": "SELECT trans_num, split, is_fraud, round(amt_zscore_global, 1) AS score FROM pop",
+    "points": """
+SELECT score, sum(is_fraud)::DOUBLE AS s, count(*)::DOUBLE AS n FROM scored WHERE split = 'train' GROUP BY score""",
+    "sums": """
+SELECT score, sum(s) OVER w AS cs, sum(n) OVER w AS cn, sum(s) OVER w - s AS bs, sum(n) OVER w - n AS bn
+FROM points WINDOW w AS (ORDER BY score)""",
+    "best": """
+SELECT a.score AS lo, b.score AS hi, (b.cs - a.bs) / (b.cn - a.bn) AS m FROM sums a JOIN sums b ON a.score <= b.score""",
+    "least": """
+SELECT lo, hi, min(m) OVER (PARTITION BY lo ORDER BY hi DESC) AS m FROM best""",
+    "fit": """
+SELECT x.score, max(l.m) AS y FROM points x JOIN least l ON l.lo <= x.score AND l.hi = x.score GROUP BY x.score""",
+    "near": """
+SELECT t.trans_num, t.score, (SELECT max(score) FROM fit WHERE score <= t.score) AS x0,
+  (SELECT min(score) FROM fit WHERE score >= t.score) AS x1 FROM scored t WHERE t.split = 'test'""",
+}
+_ELSE = {"other": """
+SELECT l_orderkey * 8 + l_linenumber AS id, l_extendedprice / 200 AS v, (l_orderkey * 8 + l_linenumber) * 7919 % 86400 // 3600 AS h
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""}
+_EPOCHED = {"middle": "SELECT CAST(floor((min(unix_time) + max(unix_time)) / 2) AS BIGINT) AS m FROM feat"} | {
+    "ephist": _CTES["hist"].replace("FROM feat\n", "FROM (SELECT *, CAST(unix_time > (SELECT m FROM middle) AS BIGINT) AS epoch FROM feat)\n")
+    .replace("PARTITION BY card_uid", "PARTITION BY card_uid, epoch")}
+
+ORACLE |= {
+    "key_report": _sql(["base"], f"""
+SELECT CASE WHEN {_DAMAGED} THEN 'unkeyed' ELSE 'keyed' END AS outcome, count(*) AS n FROM base GROUP BY 1"""),
+    "prepare_keyed": _sql(["base", "keyed"], f"SELECT trans_num, card_uid FROM keyed WHERE NOT {_DAMAGED}"),
+    "win_unkeyed": _sql(["base"], """
+SELECT trans_num, 0::BIGINT AS uid_time_since_last, 0.0::DOUBLE AS uid_dist_from_prev, 0::BIGINT AS uid_txn_1h, 0::BIGINT AS uid_txn_24h,
+  0::BIGINT AS uid_txn_7d, NULL::DOUBLE AS prior_mean, 0.0::DOUBLE AS prior_std FROM base WHERE trans_num % 23 = 0"""),
+    "corr_matrix_nulls": _sql(_POPULATION, f"SELECT a, b, {_r('r')} FROM ({_PAIRS_NULLS})"),
+    "request_outcomes": _sql(["base"], """
+SELECT CASE WHEN unix_time % 7 = 0 THEN 'rejected' ELSE 'accepted' END AS outcome, count(*) AS n, count(DISTINCT trans_num // 8) AS n_requests
+FROM base GROUP BY 1
+UNION ALL SELECT 'empty', count(*), count(*) FROM base WHERE trans_num % 80 = 0
+UNION ALL SELECT 'unreadable', count(*), 0 FROM base WHERE trans_num % 80 = 0"""),
+    "stream_requests": _sql(["base"], """
+SELECT lpad(CAST(trans_num // 8 AS VARCHAR), 12, '0') AS request_id, count(*) AS n_transactions, count(*) AS n_answered,
+  count(*) FILTER (unix_time % 7 <> 0) AS n_scored, count(*) FILTER (unix_time % 7 = 0) AS n_rejected FROM base GROUP BY 1
+UNION ALL SELECT 'empty-' || CAST(trans_num // 8 AS VARCHAR), 0, 0, 0, 0 FROM base WHERE trans_num % 80 = 0"""),
+    "stream_scored": _sql(["base"], """
+SELECT lpad(CAST(trans_num // 8 AS VARCHAR), 12, '0') AS request_id, count(*) AS n_transactions, count(*) AS n_answered,
+  count(*) AS n_scored, 0::BIGINT AS n_rejected FROM base GROUP BY 1"""),
+    "stream_reset": _sql(_CHAIN, f"""
+SELECT trans_num, {_i('epoch uid_time_since_last uid_txn_1h uid_txn_24h uid_txn_7d').replace('AS epoch', 'AS history_epoch')},
+  {_r('uid_dist_from_prev prior_mean prior_std')} FROM ephist""", _EPOCHED),
+    "select_corr_prune": _sql(_POPULATION, """
+SELECT feature, row_number() OVER (ORDER BY rank) AS rank FROM kept
+WHERE NOT list_contains((SELECT gone FROM walk ORDER BY k DESC LIMIT 1), feature)""", _PRUNE).replace("WITH ", "WITH RECURSIVE ", 1),
+    "score_check": _sql(_CHAIN[:4], """
+SELECT trans_num, CAST(is_fraud AS BIGINT) AS is_fraud, 1::BIGINT AS ok, CASE trans_num % 3 WHEN 1 THEN 'model_b' ELSE 'ensemble' END AS model_used
+FROM txn WHERE split = 'test'"""),
+    "calibrate_isotonic": _sql(_POPULATION, f"""
+SELECT trans_num, {_r('score')}, round(CASE WHEN x0 IS NULL THEN f1.y WHEN x1 IS NULL OR x0 = x1 THEN f0.y
+  ELSE f0.y + (f1.y - f0.y) * (near.score - x0) / (x1 - x0) END, 6) AS calibrated
+FROM near LEFT JOIN fit f0 ON f0.score = x0 LEFT JOIN fit f1 ON f1.score = x1""".replace("round(score::DOUBLE", "round(near.score::DOUBLE"), _FIT),
+    "tune_grid": "SELECT t AS trial, f AS fold, 1::BIGINT AS ok, 1::BIGINT AS inside FROM (SELECT unnest(range(2)) AS t), (SELECT unnest(range(3)) AS f)",
+    "attribution_check": _sql(_CHAIN[:4], "SELECT trans_num, 25::BIGINT AS n_features, 1::BIGINT AS ok FROM txn WHERE split = 'test'"),
+    "artefact_round_trip": _sql(_CHAIN[:4], "SELECT trans_num, 1::BIGINT AS ok FROM txn WHERE split = 'test'"),
+    "zero_shot_check": _sql([], """
+SELECT m AS model, count(*) AS n_rows, count(*) FILTER ((v > 120 AND (h <= 5 OR h >= 23)) OR id % 211 = 0) AS n_fraud
+FROM other, (SELECT unnest(['model_a', 'model_b', 'ensemble']) AS m) GROUP BY m""", _ELSE),
+    "manifest_check": "SELECT * FROM (VALUES ('preprocessing', 1::BIGINT), ('models', 1), ('metadata', 1), ('scores', 0)) t(artefact, present)",
+}
+ORACLE |= {f"{n}_split": ORACLE[n] for n in (
+    "large_velocity", "large_rolling", "large_category", "large_compare", "split_group_kfold", "encode_apply")}
