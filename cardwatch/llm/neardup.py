@@ -3,12 +3,14 @@
 1. Every text gives its set of distinct shingles (64-bit hashes), a fingerprint of that set, its signature and band keys.
    An element's permutation ranks are dealt level by level; a document stops once no later level can lower a slot.
 2. Equal sets become one class (equal fingerprint); all later work is on classes, so copies cost one row each.
-3. Classes sharing a band key share a bucket. Each bucket's smallest class is its hub; every member is paired with its hubs, so a
-   bucket of n classes gives n - 1 pairs. Pairs whose signatures are too far apart for the threshold are dropped; texts of the
-   others are brought together per hub, in salted groups, and confirmed on full sets.
-4. Confirmed links are grouped by union-find. Buckets whose members still belong to several groups are finished: every member
-   outside the bucket's largest group is compared with all members in blocks of bounded size, first by signature.
-   So no pair of a bucket goes unseen unless its two members are already in one group, and no bucket is expanded into all pairs.
+3. Classes sharing a band key share a bucket. The member of a bucket that shares most buckets is its hub; every member is paired with
+   its hubs, so a bucket of n classes gives n - 1 pairs. Pairs whose signatures are too far apart for the threshold are dropped;
+   texts of the others are brought together per hub, in salted groups, and confirmed on full sets. Links are grouped by
+   union-find. Another turn of hubs follows in buckets that still hold several groups.
+4. Buckets that hold several groups after that are finished: every member outside the bucket's largest group is compared with all
+   members in blocks of bounded size, by signature and then by short hashes of the sets; a block hands on only pairs that join two
+   groups in it, and those are confirmed on full sets. So no pair of a bucket goes unseen unless its two members are
+   already in one group, and no bucket is expanded into all pairs.
 
 With 32 bands of 4 rows a pair at the threshold itself is missed with a chance of 5e-6, one at 0.8 with 5e-8; the signature test
 (68 of 128 slots, expected 96) adds less than 1e-8.
@@ -32,6 +34,8 @@ SHINGLE, PERCENT = 5, 75
 MIN_EQUAL = 68
 #: elements whose permutations are dealt together, and members of one comparing block
 ELEMENTS, BLOCK = 100_000, 1000
+#: rounds of hubs before the rest of the buckets is compared in blocks
+TURNS = 2
 #: texts checked against one hub in one group
 GROUP = 300
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"
@@ -174,17 +178,19 @@ def screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the threshold.
 
-    Texts meet per ``a``: its text goes once to each salted group of at most about ``GROUP`` partners.
+    Texts meet per ``a``: its text goes once to each salted group of at most about ``GROUP`` partners. Only texts of pairs are
+    moved: the table of their ids is broadcast if it is counted small, else joined by id.
     """
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("salts"))
-    salted = pairs.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-    texts = docs.select(F.col("doc_id"), F.col("text"))
-    hubs = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    rows = texts.join(hubs.withColumnRenamed("a", "doc_id"), "doc_id").select(
-        F.col("doc_id").alias("a"), "salt", F.lit(None).cast("long").alias("b"), "text"
-    ).unionByName(
-        texts.join(salted.withColumnRenamed("b", "doc_id"), "doc_id").select("a", "salt", F.col("doc_id").alias("b"), "text")
+    salted = pairs.join(groups, "a").select(
+        F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b"
     )
+    hubs = groups.select(
+        F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+        F.lit(None).cast("long").alias("b"),
+    )
+    sides = stored(salted.union(hubs), "neardup-sides")
+    rows = lookup_join(docs.select("doc_id", "text"), sides, "doc_id", "inner").select("a", "salt", "b", "text")
     ordered = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def check(batches):
@@ -212,13 +218,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return exact.mapInPandas(check, "a long, b long").distinct()
 
 
-def unsettled(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different groups within a bucket, by signature; members: bucket, rep, label, n_shingles, signature.
+def unsettled(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join groups within a bucket, still to be confirmed; members: bucket, rep, label, n_shingles, signature.
 
-    Members outside a bucket's largest group go to every block of the bucket, the others to their own block.
+    Members outside a bucket's largest group go to every block of the bucket, the others to their own block. Pairs are tried where
+    sizes and signatures allow; short hashes of the sets then decide. A block emits a pair only if it joins two groups there, so
+    it emits fewer rows than it has members.
     """
-    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("bucket").agg(
+    counts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    split = counts.groupBy("bucket").agg(
         F.sum("n").alias("n"), F.count("*").alias("labels"),
         F.max(F.struct("n", F.negative("label").alias("label"))).alias("main"),
     ).where(F.col("labels") > 1).select(
@@ -230,48 +238,102 @@ def unsettled(members: DataFrame, percent: int) -> DataFrame:
     ).withColumn("query", F.lit(0))
     stays = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("query", F.lit(1))
     columns = ["bucket", "block", "query", "rep", "label", "n_shingles", "signature"]
-    rows = queries.select(columns).union(stays.select(columns))
+    rows = stored(queries.select(columns).union(stays.select(columns)), "neardup-cells")
+
+    def brief(batches):
+        import pandas as pd
+
+        for batch in batches:
+            sets = [(shingles(t, size) >> 32).astype("<u4").tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"rep": batch["rep"], "brief": sets})
+
+    asked = stored(rows.select(F.col("rep").alias("doc_id")).distinct(), "neardup-asked")
+    texts = lookup_join(docs.select("doc_id", "text"), asked, "doc_id", "inner")
+    sets = texts.select(F.col("doc_id").alias("rep"), "text").mapInPandas(brief, "rep long, brief binary")
 
     def compare(batches):
         import numpy as np
         import pandas as pd
 
-        def finish(asked, part):
-            if not asked or not part:
+        group, ask, own, parent = None, [], [], {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        def similarity(x, y):
+            x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            both = len(np.intersect1d(x, y))
+            return 100 * both / (len(x) + len(y) - both)
+
+        def finish():
+            if not ask or not own:
                 return []
-            ask, own = (np.array([r[:3] for r in x], np.int64) for x in (asked, part))
-            ask_sig, own_sig = (np.frombuffer(b"".join(r[3] for r in x), np.uint8).reshape(len(x), -1) for x in (asked, part))
-            found = []
-            for k in range(len(ask)):
-                differ = ask[k, 1] != own[:, 1]
-                fits = 100 * np.minimum(ask[k, 2], own[:, 2]) >= percent * np.maximum(ask[k, 2], own[:, 2])
-                at = np.flatnonzero(differ & fits)
-                at = at[(own_sig[at] == ask_sig[k]).sum(axis=1) >= MIN_EQUAL]
-                found += [(min(int(ask[k, 0]), x), max(int(ask[k, 0]), x)) for x in own[at, 0].tolist()]
+            (a_id, a_label, a_n, a_sig, a_set), (o_id, o_label, o_n, o_sig, o_set) = (list(zip(*x, strict=True)) for x in (ask, own))
+            a_sig, o_sig = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (a_sig, o_sig))
+            a_n, o_n, a_lab, o_lab = (np.array(x, np.int64) for x in (a_n, o_n, a_label, o_label))
+            found, step = [], max(1, 20_000 // len(o_n))
+            for at in range(0, len(a_n), step):
+                some = slice(at, at + step)
+                fits = 100 * np.minimum(a_n[some, None], o_n) >= percent * np.maximum(a_n[some, None], o_n)
+                x, y = np.nonzero(fits & (a_lab[some, None] != o_lab))
+                equal = (a_sig[at + x] == o_sig[y]).sum(axis=1)
+                for k in np.flatnonzero(equal >= MIN_EQUAL)[np.argsort(-equal[equal >= MIN_EQUAL], kind="stable")].tolist():
+                    p, q = at + int(x[k]), int(y[k])
+                    left, right = find(a_label[p]), find(o_label[q])
+                    if left != right and (near := similarity(a_set[p], o_set[q])) >= percent - 1:
+                        if near >= percent + 1:  # short hashes may coincide: pairs at the threshold join nothing unconfirmed
+                            parent[max(left, right)] = min(left, right)
+                        found.append((min(a_id[p], o_id[q]), max(a_id[p], o_id[q])))
             return found
 
-        group, asked, part = None, [], []
         for batch in batches:
             found = []
-            for bucket, block, query, *row in zip(*(batch[c].tolist() for c in columns), strict=True):
+            for bucket, block, query, *row in zip(*(batch[c].tolist() for c in [*columns, "brief"]), strict=True):
                 if (bucket, block) != group:
-                    found += finish(asked, part)
-                    group, asked, part = (bucket, block), [], []
+                    found += finish()
+                    group, ask, own, parent = (bucket, block), [], [], {}
                 if query == 0:
-                    asked.append(row)
+                    ask.append(row)
                 else:
-                    part.append(row)
-                    if len(part) >= BLOCK:
-                        found += finish(asked, part)
-                        part = []
+                    own.append(row)
+                    if len(own) >= 2 * BLOCK:
+                        found += finish()
+                        own = []
             if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
-        yield pd.DataFrame(finish(asked, part), columns=["a", "b"]).astype("int64")
+                yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        yield pd.DataFrame(finish(), columns=["a", "b"]).astype("int64")
 
-    ordered = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "query")
+    full = rows.join(sets, "rep").select(*columns, "brief")
+    ordered = full.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "query")
     return ordered.mapInPandas(compare, "a long, b long").distinct()
 
 
+def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (bucket, rep, degree, label) of buckets that hold several groups."""
+    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "bucket", "rep", "degree", F.coalesce("label", "rep").alias("label")
+    )
+    mixed_ = named.groupBy("bucket").agg(F.min("label").alias("first"), F.max("label").alias("last")).where(
+        F.col("first") != F.col("last")
+    ).select("bucket")
+    return stored(named.join(mixed_, "bucket"), "neardup-open")
+
+
+def hub_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's hub with its members of other groups.
+
+    A hub is the member that shares most buckets with others; in later turns, one such member of a group drawn by hash.
+    """
+    drawn = F.col("degree") if turn == 0 else F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(1 << 20)) * F.lit(1 << 20) + F.col("degree")
+    hubs = members.groupBy("bucket").agg(F.max(F.struct(drawn.alias("by"), F.negative("rep").alias("rep"), "label")).alias("hub"))
+    both = members.join(hubs.select(
+        "bucket", F.negative("hub.rep").alias("hub"), F.col("hub.label").alias("of")), "bucket")
+    apart = both.where((F.col("rep") != F.col("hub")) & (F.col("label") != F.col("of")))
+    return apart.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable) and kept of every row."""
@@ -288,23 +350,22 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
         dealt.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"))
         .where(F.col("hub") != F.col("last")).select("bucket", "hub"), "neardup-buckets",
     )
-    members = stored(dealt.join(buckets, "bucket"), "neardup-members")
-    pairs = members.where(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(confirmed(stored(screened(pairs, classes, percent), "neardup-pairs"), rows, shingle, percent), "neardup-links")
-    labels = components(links)
-
-    named = members.select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", F.coalesce("label", "rep").alias("label")
-    )
-    mixed_ = named.groupBy("bucket").agg(F.min("label").alias("first"), F.max("label").alias("last")).where(
-        F.col("first") != F.col("last")
-    ).select("bucket")
-    open_ = stored(named.join(mixed_, "bucket"), "neardup-open")
-    if not open_.isEmpty():
-        detailed = open_.join(classes.select("rep", "n_shingles", "signature"), "rep")
-        tried = stored(unsettled(detailed, percent).join(pairs, ["a", "b"], "left_anti"), "neardup-rest")
-        if not tried.isEmpty():
-            labels = components(links.union(confirmed(tried, rows, shingle, percent)))
+    shared = stored(dealt.join(buckets.select("bucket"), "bucket"), "neardup-shared")
+    members = stored(shared.join(shared.groupBy("rep").agg(F.count("*").alias("degree")), "rep"), "neardup-members")
+    open_, links, labels = members.withColumn("label", F.col("rep")), None, None
+    for turn in range(TURNS):
+        pairs = stored(screened(hub_pairs(open_, turn), classes, percent), "neardup-pairs")
+        found = stored(confirmed(pairs, rows, shingle, percent), "neardup-links")
+        links = found if links is None else links.union(found)
+        labels = components(links)
+        open_ = open_buckets(members, labels)
+        if open_.isEmpty():
+            break
+    else:
+        detailed = open_.join(classes.select("rep", "n_shingles", "signature"), "rep").drop("degree")
+        rest = stored(unsettled(detailed, rows, shingle, percent), "neardup-rest")
+        if not rest.isEmpty():
+            labels = components(links.union(confirmed(rest, rows, shingle, percent)))
     groups = classes.select("n_shingles", "set_a", "set_b", "rep").join(
         labels.withColumnRenamed("node", "rep"), "rep", "left"
     ).select("n_shingles", "set_a", "set_b", F.coalesce("label", "rep").alias("label"))
