@@ -120,7 +120,7 @@ def _full_run(raw: DataFrame, out: str, version: str, trials: int, spaces: dict[
     done.ensemble.save(f"{out}/models")
     sinks.write_selected(chosen, f"{out}/selected_features")
     sinks.write_table(tried, f"{out}/trials")
-    sinks.write_table(done.comparison, f"{out}/comparison", "parquet")
+    sinks.write_table(done.comparison, f"{out}/comparison")
     sinks.write_table(done.scores, f"{out}/scores", "parquet")
     sinks.write_table(done.thresholds, f"{out}/thresholds", "parquet")
     limits = {r["model"]: r["threshold"] for r in done.thresholds.collect()}
@@ -132,7 +132,8 @@ def _full_run(raw: DataFrame, out: str, version: str, trials: int, spaces: dict[
         raise RuntimeError(f"artefacts not written: {missing}")
     reloaded = Ensemble.load(f"{out}/models", list(learners), selected)
     check_reload(spark, reloaded)
-    return Trained(reloaded, *(spark.read.parquet(f"{out}/{n}") for n in ("thresholds", "scores", "comparison")))
+    comparison = spark.read.schema(done.comparison.schema).option("header", True).csv(f"{out}/comparison")
+    return Trained(reloaded, *(spark.read.parquet(f"{out}/{n}") for n in ("thresholds", "scores")), comparison)
 
 
 def evaluate_elsewhere(raw: DataFrame, stats: FeatureStats, ensemble: Ensemble,
