@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from cardwatch.llm import components, lm, mixing, neardup, rollup, topk
 from cardwatch.llm.catalogue import ORACLE, QUERIES
-from cardwatch.runtime import fresh_path
+from cardwatch.runtime import fresh_path, stored
 from tests.parity import connect, differences
 
 
@@ -332,6 +332,22 @@ def test_lm_query(spark, sf):
     assert sum(r["score"] for r in apart) > sum(r["base_score"] for r in apart)
 
 
+def test_learning_grows_with_the_counted_tokens(monkeypatch, spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(lm, "TASK_TOKENS", 20_000)
+    dealt = []
+    monkeypatch.setattr(lm, "stored", lambda df, name: dealt.append((name, stored(df, name))) or dealt[-1][1])
+    scorer, counts = lm.learn(docs, learn_tokens=10_000, seed=1, learn_share=0.4)
+    learned = sum(len(r["types"]) // 4 + 1 for r in dict(dealt)["lm-dealt"].collect())
+    assert 0.3 * scorer.n < learned < 0.5 * scorer.n and learned > 20_000
+    assert len(scorer.neural) == 1 + int(2048 * (int(0.4 * scorer.n) / 10_000) ** 0.5)
+    plain = lm.learn(docs, learn_tokens=10_000, seed=1, learn_share=0.0)[0]
+    assert len(plain.neural) == 2049
+    total = lambda s: lm.scores(docs, s, counts).agg(F.sum("score")).first()[0]
+    assert total(scorer) > total(plain)
+
+
 def test_lm_edges(messy, empty):
     for df in (messy, empty):
         docs = df.select("doc_id", "text")
