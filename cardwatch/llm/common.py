@@ -84,21 +84,30 @@ class ByteBpe:
 
     Its pre-tokenizer always cuts before a lone space between two characters that are not white space. So a text falls
     into space-led pieces that are encoded apart and remembered; a text with other runs of spaces is encoded at once.
+    With ``added`` a text is first cut at the file's added tokens, which give their own ids, as the library does by default.
     """
 
     #: the pre-tokenizer's public pattern (fixed value)
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, added: bool = False):
+        import re
+
         import numpy as np
         import tiktoken
 
         spec = json.loads(tokenizer_json)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        tokens = spec.get("added_tokens", [])
+        special = {t["content"] for t in tokens}
+        if added and any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+            raise ValueError("added tokens that take white space or whole words are not supported")
         byte = byte_of_character()
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.bpe = tiktoken.Encoding("byte-bpe", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.size = 1 + max(spec["model"]["vocab"].values())
+        self.size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in tokens)])
+        #: added tokens, the longest first, and their ids
+        self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if added and special else None
+        self.own = {t["content"]: np.array([t["id"]], np.dtype("<u2" if self.size <= 1 << 16 else "<u4")).tobytes() for t in tokens}
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.leads = np.zeros(self.size, bool)
         self.leads[[i for t, i in ranks.items() if t[:1] == b" "]] = True
@@ -123,6 +132,23 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian bytes of ``kind``."""
+        if self.cut is None:
+            return self.plain(texts)
+        found = [self.cut.findall(t) for t in texts]
+        if not any(found):
+            return self.plain(texts)
+        parts = self.plain([p for t in texts for p in self.cut.split(t)])
+        out, at = [], 0
+        for marks in found:
+            own = [parts[at]]
+            for k, mark in enumerate(marks, at + 1):
+                own += [self.own[mark], parts[k]]
+            out.append(b"".join(own))
+            at += len(marks) + 1
+        return out
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without regard to added tokens."""
         split, unknown, known = [], set(), self.known
         if len(known) > CACHE_ENTRIES // 2:
             known.clear()

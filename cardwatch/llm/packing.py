@@ -81,7 +81,7 @@ def encoder(tokenizer_json: str, seed: int):
         import numpy as np
         import pandas as pd
 
-        bpe = ByteBpe(tokenizer_json)
+        bpe = ByteBpe(tokenizer_json, added=True)
         random = np.random.default_rng(seed)
         bucket = random.integers(0, BUCKETS, bpe.size)
         matrix = random.standard_normal((BUCKETS, DIMENSIONS))
@@ -170,7 +170,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, length: int = LENGTH,
          text: str = "text") -> DataFrame:
     """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids as little-endian unsigned 32-bit)."""
     source = tokenizer_file(tokenizer)
-    width = ByteBpe(source).kind.itemsize
+    width = ByteBpe(source, added=True).kind.itemsize
     rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text"))  # exact in pandas, nulls too
     blocks = stored(rows.mapInPandas(encoder(source, seed), ROW), "pack-ids", compression="zstd")
     total = blocks.agg(F.sum("n")).first()[0] or 0

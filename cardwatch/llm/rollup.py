@@ -95,7 +95,7 @@ def bpe_counts(tokenizer_json: str, columns: list[str]):
     def count(batches):
         import pandas as pd
 
-        bpe = ByteBpe(tokenizer_json)
+        bpe = ByteBpe(tokenizer_json, added=True)
         width = bpe.kind.itemsize
         for batch in batches:
             out = batch.copy()

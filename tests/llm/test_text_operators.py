@@ -35,6 +35,23 @@ def test_ids_equal_the_tokenizers_own(spark, sf):
         assert [np.frombuffer(x, bpe.kind).tolist() for x in bpe.encode(part)] == want
 
 
+def test_added_tokens_keep_their_ids(spark):
+    import public_tokenizers
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x  y", "a<|endoftext|>\n b <|endoftext|", "", "no mark"]
+    want = [own.encode(t, add_special_tokens=False).ids for t in odd]
+    assert want[0] == [64, 220, 50256, 275]
+    bpe = common.ByteBpe(packing.tokenizer_file(), added=True)
+    assert [np.frombuffer(x, bpe.kind).tolist() for x in bpe.encode(odd)] == want
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(odd)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [[] for _ in odd]
+    for r in sorted(packing.pack(df).collect(), key=lambda r: r["start"]):
+        got[r["doc_id"]] += np.frombuffer(bytes(r["ids"]), "<u4").tolist()
+    assert got == [ids + [0] for ids in want]
+
+
 # --- repetition ---
 
 def longest(ws):
