@@ -7,10 +7,10 @@
    its hubs, so a bucket of n classes gives n - 1 pairs. Pairs whose signatures are too far apart for the threshold are dropped;
    texts of the others are brought together per hub, in salted groups, and confirmed on full sets. Links are grouped by
    union-find. Another turn of hubs follows in buckets that still hold several groups.
-4. Buckets that hold several groups after that are finished: every member outside the bucket's largest group is compared with all
-   members in blocks of bounded size, by signature and then by short hashes of the sets; a block hands on only pairs that join two
-   groups in it, and those are confirmed on full sets. So no pair of a bucket goes unseen unless its two members are
-   already in one group, and no bucket is expanded into all pairs.
+4. Buckets that hold several groups after that are finished: members are dealt to blocks of bounded size, and every two blocks that
+   hold members outside the bucket's largest group meet in a cell. Pairs are tried by signature and then decided on full sets; a
+   cell hands on only links that join two groups in it. So no pair of a bucket goes unseen unless its two members are already in
+   one group, a task holds two blocks, and a cell gives fewer rows than it has members.
 
 With 32 bands of 4 rows a pair at the threshold itself is missed with a chance of 5e-6, one at 0.8 with 5e-8; the signature test
 (68 of 128 slots, expected 96) adds less than 1e-8.
@@ -34,6 +34,8 @@ SHINGLE, PERCENT = 5, 75
 MIN_EQUAL = 68
 #: elements whose permutations are dealt together, and members of one comparing block
 ELEMENTS, BLOCK = 100_000, 1000
+#: shingles of one comparing block
+BLOCK_SHINGLES = 4_000_000
 #: rounds of hubs before the rest of the buckets is compared in blocks
 TURNS = 2
 #: texts checked against one hub in one group
@@ -219,58 +221,63 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
 
 def unsettled(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that join groups within a bucket, still to be confirmed; members: bucket, rep, label, n_shingles, signature.
+    """Links (a, b) that join groups within a bucket; members: bucket, rep, label, n_shingles, signature.
 
-    Members outside a bucket's largest group go to every block of the bucket, the others to their own block. Pairs are tried where
-    sizes and signatures allow; short hashes of the sets then decide. A block emits a pair only if it joins two groups there, so
-    it emits fewer rows than it has members.
+    Members outside a bucket's largest group are dealt to the blocks 0 to asking - 1, the others to the blocks after them; a bucket that
+    fits into one block is one. Cell (x, y) with x < asking and x <= y holds the blocks x and y. Pairs are tried where sizes and
+    signatures allow and decided on full sets.
     """
-    counts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    counts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    blocks = lambda n, shingles: F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("long")
+    main = F.max(F.struct("n", F.negative("label").alias("label"), "shingles"))
     split = counts.groupBy("bucket").agg(
-        F.sum("n").alias("n"), F.count("*").alias("labels"),
-        F.max(F.struct("n", F.negative("label").alias("label"))).alias("main"),
+        F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("labels"), main.alias("main"),
     ).where(F.col("labels") > 1).select(
-        "bucket", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"), F.negative("main.label").alias("main")
+        "bucket", F.negative("main.label").alias("main"), (blocks(F.col("n"), F.col("shingles")) == 1).alias("whole"),
+        blocks(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles")).alias("asking"),
+        blocks(F.col("main.n"), F.col("main.shingles")).alias("others"),
     )
-    placed = members.join(split, "bucket")
-    queries = placed.where(F.col("label") != F.col("main")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    ).withColumn("query", F.lit(0))
-    stays = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("query", F.lit(1))
-    columns = ["bucket", "block", "query", "rep", "label", "n_shingles", "signature"]
-    rows = stored(queries.select(columns).union(stays.select(columns)), "neardup-cells")
-
-    def brief(batches):
+    asks, at = F.col("label") != F.col("main"), F.xxhash64("rep")
+    block = F.when(F.col("whole"), F.lit(0)).when(asks, F.pmod(at, F.col("asking"))).otherwise(F.col("asking") + F.pmod(at, F.col("others")))
+    last = F.when(F.col("whole"), F.lit(0)).when(asks, F.col("asking") + F.col("others") - 1).otherwise(F.col("asking") - 1)
+    placed = members.join(split, "bucket").withColumns({"block": block.cast("long"), "last": last.cast("long")})
+    meets = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    columns = ["bucket", "x", "y", "block", "rep", "label", "n_shingles", "signature"]
+    rows = stored(
+        meets.withColumns({"x": F.least("block", "with"), "y": F.greatest("block", "with")}).select(columns), "neardup-cells"
+    )
+
+    def full(batches):
         import pandas as pd
 
         for batch in batches:
-            sets = [(shingles(t, size) >> 32).astype("<u4").tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"rep": batch["rep"], "brief": sets})
+            yield pd.DataFrame({"rep": batch["rep"], "set": [shingles(t, size).tobytes() for t in batch["text"]]})
 
     asked = stored(rows.select(F.col("rep").alias("doc_id")).distinct(), "neardup-asked")
     texts = lookup_join(docs.select("doc_id", "text"), asked, "doc_id", "inner")
-    sets = texts.select(F.col("doc_id").alias("rep"), "text").mapInPandas(brief, "rep long, brief binary")
+    sets = texts.select(F.col("doc_id").alias("rep"), "text").mapInPandas(full, "rep long, set binary")
 
     def compare(batches):
         import numpy as np
         import pandas as pd
 
-        group, ask, own, parent = None, [], [], {}
+        cell, held, parent = None, ([], []), {}
 
         def find(x):
             while parent.setdefault(x, x) != x:
                 x = parent[x]
             return x
 
-        def similarity(x, y):
-            x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-            both = len(np.intersect1d(x, y))
-            return 100 * both / (len(x) + len(y) - both)
+        def linked(x, y):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return 100 * both >= percent * (len(x) + len(y) - both)
 
         def finish():
-            if not ask or not own:
+            sides = [held[0], held[1] if cell and cell[1] != cell[2] else held[0]]
+            if not all(sides):
                 return []
-            (a_id, a_label, a_n, a_sig, a_set), (o_id, o_label, o_n, o_sig, o_set) = (list(zip(*x, strict=True)) for x in (ask, own))
+            (a_id, a_label, a_n, a_sig, a_set), (o_id, o_label, o_n, o_sig, o_set) = (list(zip(*x, strict=True)) for x in sides)
             a_sig, o_sig = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (a_sig, o_sig))
             a_n, o_n, a_lab, o_lab = (np.array(x, np.int64) for x in (a_n, o_n, a_label, o_label))
             found, step = [], max(1, 20_000 // len(o_n))
@@ -278,35 +285,29 @@ def unsettled(members: DataFrame, docs: DataFrame, size: int, percent: int) -> D
                 some = slice(at, at + step)
                 fits = 100 * np.minimum(a_n[some, None], o_n) >= percent * np.maximum(a_n[some, None], o_n)
                 x, y = np.nonzero(fits & (a_lab[some, None] != o_lab))
+                if cell[1] == cell[2]:
+                    x, y = x[at + x < y], y[at + x < y]
                 equal = (a_sig[at + x] == o_sig[y]).sum(axis=1)
                 for k in np.flatnonzero(equal >= MIN_EQUAL)[np.argsort(-equal[equal >= MIN_EQUAL], kind="stable")].tolist():
                     p, q = at + int(x[k]), int(y[k])
                     left, right = find(a_label[p]), find(o_label[q])
-                    if left != right and (near := similarity(a_set[p], o_set[q])) >= percent - 1:
-                        if near >= percent + 1:  # short hashes may coincide: pairs at the threshold join nothing unconfirmed
-                            parent[max(left, right)] = min(left, right)
+                    if left != right and linked(a_set[p], o_set[q]):
+                        parent[max(left, right)] = min(left, right)
                         found.append((min(a_id[p], o_id[q]), max(a_id[p], o_id[q])))
             return found
 
         for batch in batches:
             found = []
-            for bucket, block, query, *row in zip(*(batch[c].tolist() for c in [*columns, "brief"]), strict=True):
-                if (bucket, block) != group:
+            for bucket, x, y, block, *row in zip(*(batch[c].tolist() for c in [*columns, "set"]), strict=True):
+                if (bucket, x, y) != cell:
                     found += finish()
-                    group, ask, own, parent = (bucket, block), [], [], {}
-                if query == 0:
-                    ask.append(row)
-                else:
-                    own.append(row)
-                    if len(own) >= 2 * BLOCK:
-                        found += finish()
-                        own = []
+                    cell, held, parent = (bucket, x, y), ([], []), {}
+                held[block != x].append(row)
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
         yield pd.DataFrame(finish(), columns=["a", "b"]).astype("int64")
 
-    full = rows.join(sets, "rep").select(*columns, "brief")
-    ordered = full.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "query")
+    ordered = rows.join(sets, "rep").select(*columns, "set").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     return ordered.mapInPandas(compare, "a long, b long").distinct()
 
 
@@ -365,7 +366,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
         detailed = open_.join(classes.select("rep", "n_shingles", "signature"), "rep").drop("degree")
         rest = stored(unsettled(detailed, rows, shingle, percent), "neardup-rest")
         if not rest.isEmpty():
-            labels = components(links.union(confirmed(rest, rows, shingle, percent)))
+            labels = components(links.union(rest))
     groups = classes.select("n_shingles", "set_a", "set_b", "rep").join(
         labels.withColumnRenamed("node", "rep"), "rep", "left"
     ).select("n_shingles", "set_a", "set_b", F.coalesce("label", "rep").alias("label"))

@@ -169,6 +169,29 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
         i: (c, sizes[i], c == i) for i, c in want.items()}
 
 
+def test_cells_hold_two_blocks_and_give_links_only(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 10)
+    n = 60
+    # texts of 100 words, each 84 to 89 words of one text and words of its own: similarities on both sides of the threshold
+    common_ = [f"c{k}" for k in range(100)]
+    docs = {i: " ".join(common_[:84 + i % 6] + [f"o{i}-{k}" for k in range(16 - i % 6)]) for i in range(n)}
+    want = brute_components(docs)[0]
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(96)} for i, t in docs.items()}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    signed = df.mapInPandas(neardup.signer(5, neardup.ROWS), neardup.SIGNED)
+    members = signed.select(F.lit(1).cast("long").alias("bucket"), F.col("doc_id").alias("rep"), F.col("doc_id").alias("label"),
+                            "n_shingles", "signature")
+    cells = []
+    monkeypatch.setattr(neardup, "stored", lambda rows, name: cells.append((name, stored(rows, name))) or cells[-1][1])
+    links = [tuple(r) for r in neardup.unsettled(members, df, 5, 75).collect()]
+    held = dict(cells)["neardup-cells"].groupBy("bucket", "x", "y").agg(F.countDistinct("block").alias("blocks"), F.count("*").alias("n"))
+    assert all(r["blocks"] <= 2 and r["n"] < n for r in held.collect())
+    assert all(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a, b in links)
+    labels = {i: i for i in docs} | {r["node"]: r["label"] for r in components.components(
+        spark.createDataFrame(links, "a long, b long")).collect()}
+    assert labels == want
+
+
 def test_near_duplicate_edges(messy, empty):
     rows = neardup.near_duplicates(messy).collect()
     assert len(rows) == messy.count()
