@@ -220,6 +220,22 @@ def test_licenses(spark, messy, empty):
     assert licenses.learn(empty.select("doc_id", "text"), learn_rows=10, seed=1).limit >= 0.5
 
 
+def test_notices_beside_other_words(spark):
+    mit = " ".join(["MIT License Copyright (c) 2020 Jane Doe", *licenses.TEMPLATES["MIT"][4:], *licenses.WARRANTIES["MIT"]])
+    prose = "The river ran past the old mill and the children played by the water until evening came over the hills. "
+    lines = [
+        ("MIT", "Copyright (c) 2020 Jane Doe. Released under the MIT License."), ("MIT", mit),
+        ("Apache-2.0", "Copyright 2021 Acme Corp. SPDX-License-Identifier: Apache-2.0"),
+        ("MIT", prose + "Released under the MIT License. " + prose),
+        ("Apache-2.0", prose + "Licensed under the Apache License, Version 2.0. " + prose),
+        ("none", prose + "She was granted a license to use the boat under the terms of the agreement. " + prose),
+    ]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = licenses.learn(docs, learn_rows=1000, seed=42)
+    got = [{x[1] for x in model.scan(t) if x[4]} for _, t in lines]
+    assert got == [{f} if f != "none" else set() for f, _ in lines]
+
+
 def test_license_query_finds_the_given_lines(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
