@@ -35,6 +35,11 @@ def collapse(batches: Iterator) -> Iterator:
     yield pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["a", "b"]).astype("int64")
 
 
+def spread(links: DataFrame, tasks: int) -> DataFrame:
+    """Links dealt to tasks by both ends, so that a hub's links are too; union-find inside a task is right on any of them."""
+    return links.repartition(tasks, "a", "b") if tasks > 1 else links.coalesce(1)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of the links (a, b): label is the smallest node reachable.
 
@@ -44,8 +49,7 @@ def components(links: DataFrame) -> DataFrame:
     kept = links.where(F.col("a") != F.col("b")).select(F.col("a").cast("long"), F.col("b").cast("long"))
     total = kept.count()
     tasks = max(1, -(-total // LINKS_PER_TASK))
-    spread = kept.repartition(tasks, F.least("a", "b")) if tasks > 1 else kept.coalesce(1)
-    stars = stored(spread.mapInPandas(collapse, "a long, b long"), "links")
+    stars = stored(spread(kept, tasks).mapInPandas(collapse, "a long, b long"), "links")
     both = stars.select("a", "b").union(stars.select(F.col("b"), F.col("a")))
     labels = stored(
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))

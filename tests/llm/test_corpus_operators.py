@@ -231,6 +231,12 @@ def test_components_of_chains_and_stars(spark, monkeypatch):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_links_of_a_hub_are_spread(spark):
+    star = spark.createDataFrame([(0, i) for i in range(1, 401)], "a long, b long")
+    sizes = [r["count"] for r in components.spread(star, 4).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 200
+
+
 # --- rollups ---
 
 def test_rollup_commits_once(spark):
