@@ -5,8 +5,8 @@ labels by four transition weights. Only documents are labelled, so in learning e
 weights maximize the conditional log-likelihood (exact gradients by forward-backward, Adam steps). A document's score is the mean
 of its lines' marginals of being good, weighted by line length.
 
-Learning takes about ``learn_rows`` labelled documents of each label (a documented bound), of at most ``LINES`` lines each; scoring
-reads every line of every text in one pass without a shuffle.
+Learning takes about ``learn_rows`` labelled documents of each label (a documented bound); of one with more than ``learn_lines`` lines, so
+many in ``STRETCHES`` stretches drawn by seeded hash from all of it, each a chain; scoring reads every line of every text in one pass without a shuffle.
 
 Edges: null and empty texts are one line without words and get its score; one-line and very long texts go the same way; null or
 repeated ids are scored like others; with several labels for one id each is learned from; without labelled rows of both labels the
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 from cardwatch.llm.common import bounded_sample, held, learned, rows_where, table
 from cardwatch.runtime import lookup_join
 
-#: lines of a document learned from, lines of a batch scored together
-LINES, BATCH_LINES = 1000, 50_000
+#: lines of a document learned from, by default, and the stretches they are drawn in; lines of a batch scored together
+LINES, STRETCHES, BATCH_LINES = 1000, 10, 50_000
 STEPS, RATE, RIDGE = 200, 0.05, 1e-4
 GOOD = 0.7
 
@@ -136,7 +136,19 @@ def fit(features, starts, labels):
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, learn_rows: int, seed: int):
+def stretches(lines, drawn: list[int], bound: int):
+    """All lines of a document as one chain, or, of more than ``bound``, seeded stretches from all of it, about so many lines together."""
+    import numpy as np
+
+    if len(lines) <= bound:
+        return [lines]
+    size = max(1, bound // STRETCHES)
+    count = -(-len(lines) // size)
+    chosen = np.random.default_rng(drawn).choice(count, min(count, bound // size), replace=False)
+    return [lines[k * size:(k + 1) * size] for k in sorted(chosen.tolist())]
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, learn_rows: int, seed: int, learn_lines: int = LINES):
     """Fit on docs (doc_id, text) with labels (doc_id, quality). Ids are drawn first, so only texts of the sample move; the
     driver gets line features only, of a bounded number of documents and lines."""
     import numpy as np
@@ -148,13 +160,17 @@ def learn(docs: DataFrame, labels: DataFrame, *, learn_rows: int, seed: int):
     )
 
     def describe(batches):
+        import zlib
+
         import pandas as pd
 
         for batch in batches:
-            found = [line_features(t or "")[0][:LINES] for t in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "quality": batch["quality"], "lines": [x.tobytes() for x in found],
-            })
+            found = [
+                (doc, label, x.tobytes())
+                for doc, label, text in zip(batch["doc_id"], batch["quality"], batch["text"], strict=True)
+                for x in stretches(line_features(text or "")[0], [seed, zlib.crc32(doc.encode())], learn_lines)
+            ]
+            yield pd.DataFrame(found, columns=["doc_id", "quality", "lines"])
 
     sample = rows.mapInPandas(describe, "doc_id string, quality int, lines binary").toPandas()
     labels = sample["quality"].to_numpy()
@@ -221,9 +237,9 @@ def allowed(labels: DataFrame) -> DataFrame:
     return labels.where(learned(F.col("doc_id"), 4, 2))
 
 
-def op6_quality(spark, sf_dir: str, learn_rows: int = 3000) -> DataFrame:
+def op6_quality(spark, sf_dir: str, learn_rows: int = 3000, learn_lines: int = LINES) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = learn(docs, allowed(table(spark, sf_dir, "labels")), learn_rows=learn_rows, seed=42)
+    model = learn(docs, allowed(table(spark, sf_dir, "labels")), learn_rows=learn_rows, seed=42, learn_lines=learn_lines)
     return quality(docs, model).select(
         "doc_id", held(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted", "n_lines"
     )

@@ -201,6 +201,15 @@ def test_quality_accuracy_and_edges(spark, messy, empty, labels):
     assert {r["score"] for r in quality.quality(messy, 0.5).collect()} == {0.5}
 
 
+def test_late_junk_of_long_documents_is_learned():
+    lines = np.arange(5000)
+    found = quality.stretches(lines, [42, 7], 1000)
+    assert sum(map(len, found)) == 1000 and max(map(max, found)) >= 1000
+    again = quality.stretches(lines, [42, 7], 1000)
+    assert [x.tolist() for x in found] == [x.tolist() for x in again]
+    assert [x.tolist() for x in quality.stretches(lines[:1000], [42, 7], 1000)] == [list(range(1000))]
+
+
 # --- licenses ---
 
 def test_licenses(spark, messy, empty):
