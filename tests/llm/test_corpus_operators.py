@@ -290,7 +290,6 @@ def test_rollup_query_against_counting(spark, sf):
 def test_gradients_against_differences(monkeypatch):
     monkeypatch.setattr(lm, "TAILS", 5)
     monkeypatch.setattr(lm, "HIDDEN", 4)
-    monkeypatch.setattr(lm, "CLASS_WORDS", 3)
     draw = np.random.default_rng(1)
     net = lm.Network(np.array([5.0, 4, 3, 2, 2, 1, 1]), np.array([3.0, 1, 2, 2, 1]), 0)
     net.p = {k: (v + draw.normal(0, 0.3, v.shape) * (v > -100)).astype(np.float64) for k, v in net.p.items()}
@@ -377,6 +376,18 @@ def test_learning_grows_with_the_counted_tokens(monkeypatch, spark):
     assert total(scorer) > total(plain)
 
 
+def test_more_tasks_learn_as_well_as_one(monkeypatch, spark):
+    """The gain over the base on documents not learned from, with eight tasks and with one."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("doc_id < 3000")
+    of_model, apart = docs.where("doc_id % 10 <> 0"), docs.where("doc_id % 10 = 0")
+    gains = []
+    for tasks in (1, 8):
+        monkeypatch.setattr(lm, "TASK_TOKENS", 200_000 // tasks)
+        scorer, counts = lm.learn(of_model, learn_tokens=200_000, seed=1)
+        gains.append(lm.scores(apart, scorer, counts).agg(F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).first()[0])
+    assert gains[0] > 0.2 and gains[1] > 0.95 * gains[0]
+
+
 def test_lm_edges(messy, empty):
     for df in (messy, empty):
         docs = df.select("doc_id", "text")
