@@ -25,6 +25,11 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 
 
+def lower_words(text: str | None) -> list[bytes]:
+    """``words`` with A-Z in lower case; bytes.lower leaves all other bytes alone."""
+    return text.encode("utf-8", "replace").lower().split() if text else []
+
+
 def n_words(text: Column) -> Column:
     """Number of ``WORD`` matches; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
