@@ -10,8 +10,9 @@
 4. Stars first: each bucket's hub is paired with the others, each group's first member with its other members. Pairs are tried by sketch
    (differing bits never exceed the differing n-grams) and confirmed on full sets; links are grouped by union-find, and a second turn of hubs
    follows. So a bucket of n alike documents costs n pairs.
-5. In buckets and groups that still hold several components, all group pairs that pass the filters are formed in cells of two blocks,
-   expanded to their members of different components, and verified in the same way. So no link between components goes unseen.
+5. In buckets and groups that still hold several components, all group pairs that pass the filters are expanded to their members of
+   different components and verified in the same way. Small buckets are joined with themselves; in larger ones the members meet in cells of
+   two blocks, which hand on only pairs that pass the sketch too. So no link between components goes unseen.
 
 All filters are exact, so links are lost only to equal 64-bit hashes. Hubs and other per-bucket results are written before they are joined, so that
 both sides of such joins are plain and hot buckets are split; tasks hold batches, blocks, or the partners of one salted group.
@@ -35,8 +36,8 @@ from cardwatch.runtime import stored
 SHINGLE, PERCENT = 4, 85
 #: frequent n-grams that are ordered by count, n-grams of one counted stretch
 ORDERED, STRETCH = 500_000, 4_000_000
-#: turns of hubs, members of one block of a cell, pairs tried at once in a cell
-TURNS, BLOCK, TRIED = 2, 4000, 4_000_000
+#: turns of hubs, groups of a bucket that is joined with itself, members of one block of a cell, pairs tried at once there
+TURNS, FEW, BLOCK, TRIED = 2, 32, 4000, 250_000
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, group_a long, group_b long, prefix array<long>, sketch binary"
 
 
@@ -225,14 +226,41 @@ def star_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
     return kept.select(F.least("grp", "hub.grp").alias("a"), F.greatest("grp", "hub.grp").alias("b")).distinct()
 
 
-def cell_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All group pairs (a, b) of open buckets that pass the filters; members are dealt to blocks, every two blocks meet in a cell."""
+def bucket_sizes(members: DataFrame) -> DataFrame:
+    return stored(members.groupBy("token", "band").agg(F.count("*").alias("together")), "ngram-sizes")
+
+
+def few_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Group pairs (a, b) that pass the filters in buckets of at most ``FEW`` groups."""
+    one, two = (members.select("token", "band", *[F.col(c).alias(f"{c}_{side}") for c in ("grp", "n", "at", "low", "high", "guest")]) for side in "ab")
+    apart = (F.col("grp_a") < F.col("grp_b")) & ~(F.col("guest_a") & F.col("guest_b")) & (F.least("low_a", "low_b") != F.greatest("high_a", "high_b"))
+    both = one.join(two, ["token", "band"]).where(apart & may_link("a", "b", percent))
+    return both.select(F.col("grp_a").alias("a"), F.col("grp_b").alias("b")).distinct()
+
+
+def folded(sketches: list[bytes]):
+    """Sketches as rows of 64-bit numbers, all as long as the shortest: halves of a parity sketch flip each other."""
+    import numpy as np
+
+    width = min(map(len, sketches)) // 8
+    out = np.empty((len(sketches), width), np.uint64)
+    for row, sketch in enumerate(sketches):
+        out[row] = np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, width), axis=0)
+    return out
+
+
+def many_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Member pairs (a, b) of different components that pass all filters in larger buckets.
+
+    Groups are expanded to their members (grp, rep, label, sketch), these are dealt to blocks, and every two blocks meet in a cell.
+    """
     bucket = ["token", "band"]
-    counts = members.groupBy(bucket).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    placed = members.join(stored(counts, "ngram-blocks"), bucket).withColumn("block", F.pmod(F.xxhash64("grp"), F.col("blocks")))
+    rows = members.drop("low", "high", "together").join(sketches, "grp")
+    counts = stored(rows.groupBy(bucket).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "ngram-blocks")
+    placed = rows.join(counts, bucket).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     meets = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = meets.select(*bucket, F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "grp", "n", "at", "low", "high", "guest")
-    key, values = [*bucket, "x", "y"], ["block", "grp", "n", "at", "low", "high", "guest"]
+    key, values = [*bucket, "x", "y"], ["block", "rep", "label", "n", "at", "guest", "sketch"]
+    cells = meets.select(*bucket, F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), *values)
 
     def pairs(batches):
         import numpy as np
@@ -241,19 +269,27 @@ def cell_pairs(members: DataFrame, percent: int) -> DataFrame:
         cell, held = None, []
 
         def finish():
-            block, grp, n, at, low, high, guest = (np.concatenate(c) for c in zip(*held, strict=True))
+            block, rep, label, n, at, guest, sketch = (np.concatenate(c) for c in zip(*held, strict=True))
+            bits = folded(sketch.tolist())
             sides = [np.flatnonzero(block == cell[2]), np.flatnonzero(block == cell[3])]
             step = max(1, TRIED // max(1, len(sides[1])))
             for start in range(0, len(sides[0]), step):
                 i, j = sides[0][start:start + step, None], sides[1][None, :]
-                need = least_overlap(n[i], n[j], percent)
-                fits = (np.minimum(n[i] - at[i], n[j] - at[j]) >= need) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-                fits &= ~(guest[i] & guest[j]) & (np.minimum(low[i], low[j]) != np.maximum(high[i], high[j]))
-                fits &= grp[i] < grp[j] if cell[2] == cell[3] else grp[i] != grp[j]
+                fits = (label[i] != label[j]) & ~(guest[i] & guest[j])
+                if cell[2] == cell[3]:
+                    fits &= rep[i] < rep[j]
                 p, q = np.nonzero(fits)
-                if len(p):
-                    p, q = grp[i[p, 0]], grp[j[0, q]]
-                    yield pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+                p, q = i[p, 0], j[0, q]
+                need = least_overlap(n[p], n[q], percent)
+                fits = (np.minimum(n[p] - at[p], n[q] - at[q]) >= need) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
+                p, q, most = p[fits], q[fits], (n[p] + n[q] - 2 * need)[fits]
+                some = max(1, 8 * TRIED // bits.shape[1])
+                for low in range(0, len(p), some):
+                    part = slice(low, low + some)
+                    near = np.bitwise_count(bits[p[part]] ^ bits[q[part]]).sum(axis=1) <= most[part]
+                    x, y = rep[p[part][near]], rep[q[part][near]]
+                    if len(x):
+                        yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
         for batch in batches:
             keys = batch[key].to_numpy()
@@ -271,7 +307,7 @@ def cell_pairs(members: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from finish()
 
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(pairs, "a long, b long").distinct()
+    return cells.repartition(*key).sortWithinPartitions(*key).mapInPandas(pairs, "a long, b long").distinct()
 
 
 def expanded(pairs: DataFrame, named: DataFrame) -> DataFrame:
@@ -321,9 +357,12 @@ def join_components(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = P
         label = named(components(links))
     members = unsettled(members, states(label))
     several = states(label).where(F.col("low") != F.col("high")).select(F.col("grp").alias("a"), F.col("grp").alias("b"))
-    pairs = stored(cell_pairs(members, percent).union(several), "ngram-group-pairs")
+    sized = stored(members.join(bucket_sizes(members), ["token", "band"]), "ngram-sized")
+    pairs = stored(few_pairs(sized.where(F.col("together") <= FEW), percent).union(several), "ngram-group-pairs")
     rest = stored(expanded(pairs, label).join(tried, ["a", "b"], "left_anti"), "ngram-expanded")
-    near = stored(sketched(rest, classes, percent), "ngram-near")
+    sketches = label.join(classes.select("rep", "sketch"), "rep")
+    many = many_pairs(sized.where(F.col("together") > FEW), sketches, percent).join(tried, ["a", "b"], "left_anti")
+    near = stored(sketched(rest, classes, percent).union(many).distinct(), "ngram-near")
     if not near.isEmpty():
         more = stored(confirmed(near, rows, shingle, percent), "ngram-links")
         if not more.isEmpty():

@@ -121,11 +121,10 @@ def near_copies(seed, families, copies, words, changes):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("block, ordered, turns", [(4000, 500_000, 2), (7, 40, 1), (3, 0, 0)])
-def test_join_against_all_pairs(spark, monkeypatch, block, ordered, turns):
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
-    monkeypatch.setattr(ngram_join, "ORDERED", ordered)
-    monkeypatch.setattr(ngram_join, "TURNS", max(turns, 1))
+@pytest.mark.parametrize("few, block, ordered, turns", [(32, 4000, 500_000, 2), (2, 7, 40, 1), (0, 3, 0, 1)])
+def test_join_against_all_pairs(spark, monkeypatch, few, block, ordered, turns):
+    for name, value in {"FEW": few, "BLOCK": block, "ORDERED": ordered, "TURNS": turns, "TRIED": 100}.items():
+        monkeypatch.setattr(ngram_join, name, value)
     for docs in (near_copies(1, 12, 25, 60, 5), near_copies(2, 3, 60, 150, 9), near_copies(3, 60, 3, 9, 2)):
         df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
         got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(df).collect()}
