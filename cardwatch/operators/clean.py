@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cardwatch.functions import text
+from cardwatch.runtime import lookup_join, stored
 from cardwatch.schema import (
     BEHAVIOURAL_FEATURES, FRAUD_LABELS, JUNK_COLUMNS, JUNK_PATTERN, MERCHANT_PREFIX,
     PERSONAL_COLUMNS, REQUIRED_FIELDS, TARGET,
@@ -39,14 +40,21 @@ def distinct_rows(df: DataFrame, ignore: tuple[str, ...] = ("trans_num", *PERSON
                   keep: str = "trans_num") -> DataFrame:
     """Full-row distinct over the business columns; of a set of copies the lowest id stays.
 
-    Copies collapse in the map-side combine, so a huge group of copies moves as one row per task.
+    Only 128-bit digests of rows and their ids are shuffled: they give the ids of surplus copies, which leave by an anti-join, as a broadcast
+    where they are counted few. So unique rows do not move. ``keep`` identifies a row; rows that share one and are equal leave one.
     """
-    business = [c for c in df.columns if c not in ignore]
-    extra = [c for c in df.columns if c in ignore]
-    first = F.min(F.struct(keep, *[c for c in extra if c != keep])).alias("kept")
-    return df.groupBy(*business).agg(first).select(
-        *[F.col(f"kept.{c}").alias(c) if c in extra else F.col(c) for c in df.columns]
-    )
+    business = [F.col(f"`{c}`") for c in df.columns if c not in ignore]
+    marks = [F.xxhash64(F.lit(k), *[c.isNull() for c in business], *business).alias(f"mark{k}") for k in (1, 2)]
+    marked = df.select(F.col(keep).alias("id"), *marks)
+    groups = marked.groupBy("mark1", "mark2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    copies = stored(groups.drop("n"), "copies")
+    members = stored(lookup_join(marked, copies, ["mark1", "mark2"], "inner").select("id", "first"), "members")
+    gone = members.where(F.col("id") != F.col("first")).select(F.col("id").alias(keep)).distinct()
+    left = lookup_join(df, gone, keep, "left_anti")
+    twice = members.where(F.col("id") == F.col("first")).groupBy("id").count().where("count > 1").select(F.col("id").alias(keep))
+    if twice.isEmpty():
+        return left
+    return lookup_join(left, twice, keep, "left_anti").unionByName(lookup_join(left, twice, keep, "left_semi").dropDuplicates())
 
 
 def add_keys(df: DataFrame, anchored: bool = True) -> DataFrame:

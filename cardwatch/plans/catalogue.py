@@ -14,12 +14,14 @@ from cardwatch.learning import attribution, tuning
 from cardwatch.learning.models import (
     Ensemble, answer, assembler, calibrate, default_members, fit_calibration, fit_member, training_matrix,
 )
-from cardwatch.operators import clean, curve, decide, encode, history, select, split, stats
+from cardwatch.operators import carry, clean, curve, decide, encode, history, select, split, stats
 from cardwatch.plans import jobs
 from cardwatch.plans.features import FeatureStats, apply_features, export_table, fit_features
 from cardwatch.runtime import fresh_path, one_row, stored
 from cardwatch.schema import ATTRIBUTION_SAMPLE, CATEGORICAL, ENSEMBLE, SELECTED_FEATURES, TARGET
 from cardwatch.sources import fixtures, readers, sinks
+from cardwatch.sources.versions import latest, publish, read_all
+from cardwatch.streaming.dedup import distinct_stream
 from cardwatch.streaming.history import stream_history
 from cardwatch.streaming.scoring import score_stream, stream_to_table
 
@@ -621,21 +623,77 @@ def large_compare(spark, sf):
 
 # --- streaming ---------------------------------------------------------------------------------
 
+def _quarters(rows: DataFrame) -> list[DataFrame]:
+    """The rows in four slices of time."""
+    quarter = rows.agg(F.percentile_approx("unix_time", F.lit([0.25, 0.5, 0.75]), 100).alias("q")).first()["q"]
+    parts = []
+    for low, high in zip([None, *quarter], [*quarter, None]):
+        part = rows if low is None else rows.where(F.col("unix_time") > low)
+        parts.append(part if high is None else part.where(F.col("unix_time") <= high))
+    return parts
+
+
+def _arrivals(spark, parts: list[DataFrame], through: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Parts written one after the other, each taken up by a stream; what the stream wrote."""
+    source, out, checkpoint = (fresh_path(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 50).parquet(source)
+        stream_to_table(through(stream), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query()
 def stream_features(spark, sf):
-    """All transactions through the keyed state, in four arrivals; equals the batch windows.
+    """All transactions through the keyed state, in four arrivals; equals the batch windows."""
+    parts = _quarters(fixtures.txn(spark, sf))
+    got = _arrivals(spark, parts, lambda rows: stream_history(rows, ("unix_time", "trans_num")))
+    return got.select("trans_num", *history.COLUMNS)
 
-    Each arrival is a slice of time that is written whole before the stream takes it up again.
-    """
-    source, out, checkpoint = (fresh_path(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
+
+@query()
+def carry_features(spark, sf):
+    """The four slices as days, each from the published carry before it and its own rows; equals the batch windows."""
+    root, found = fresh_path(spark, "carry"), None
+    for day, rows in enumerate(_quarters(fixtures.txn(spark, sf))):
+        part = stored(carry.advance(spark, root, day, rows).select("trans_num", *history.COLUMNS), "day")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query()
+def stream_carried(spark, sf):
+    """A new stream over the second half of the time that starts from the carry of the first."""
     rows = fixtures.txn(spark, sf)
-    quarter = rows.agg(F.percentile_approx("unix_time", F.lit([0.25, 0.5, 0.75]), 100).alias("q")).first()["q"]
-    for low, high in zip([None, *quarter], [*quarter, None]):
-        part = rows if low is None else rows.where(F.col("unix_time") > low)
-        (part if high is None else part.where(F.col("unix_time") <= high)).write.mode("append").parquet(source)
-        stream = stream_history(spark.readStream.schema(rows.schema).parquet(source), ("unix_time", "trans_num"))
-        stream_to_table(stream, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out).select("trans_num", *history.COLUMNS)
+    first, last = rows.agg(F.min("unix_time"), F.max("unix_time")).first()
+    middle, root = (first + last) // 2, fresh_path(spark, "carry")
+    for day, (low, high) in enumerate([(first, (first + middle) // 2), ((first + middle) // 2 + 1, middle)]):
+        carry.advance(spark, root, day, rows.where(F.col("unix_time").between(low, high)))
+    start = latest(spark, root, carry.CARRY)
+    later = rows.where(F.col("unix_time") > middle)
+    got = _arrivals(spark, [later], lambda x: stream_history(x, ("unix_time", "trans_num"), carried=start))
+    return got.select("trans_num", *history.COLUMNS)
+
+
+@query()
+def stream_distinct(spark, sf):
+    """Transactions of which every fifth is sent again with a later arrival and a new number."""
+    rows = fixtures.txn(spark, sf)
+    again = rows.where(F.col("trans_num") % 5 == 0).withColumn("trans_num", F.col("trans_num") + 10_000_000)
+    got = _arrivals(spark, [rows, again], lambda x: distinct_stream(x, "3650 days"))
+    return got.agg(F.count("*").alias("n_rows"), F.sum("trans_num").alias("id_sum"), F.max("trans_num").alias("id_max"))
+
+
+@query()
+def published_batches(spark, sf):
+    """Batches published twice, and one torn before its marker: readers see every batch once."""
+    root = fresh_path(spark, "published")
+    parts = [p.select("trans_num", "amt") for p in _quarters(fixtures.txn(spark, sf))]
+    for batch, part in enumerate(parts):
+        publish(part, root, batch)
+        publish(part, root, batch)
+    parts[0].write.parquet(f"{root}/data/version-9-torn")
+    return read_all(spark, root, parts[0].schema)
 
 
 def _scored_stream(spark, sf, lines: DataFrame | None = None, **models) -> tuple[str, str]:
@@ -663,7 +721,7 @@ def _damaged_lines(spark, sf) -> DataFrame:
 def _answers(spark, out: str) -> DataFrame:
     """Per request: transactions sent, answers given, and how many of them were rejected."""
     entry = "array<struct<fraud_probability:double,is_fraud_predicted:boolean,status:string,model_used:string>>"
-    responses = spark.read.schema(f"request_id string, n_transactions bigint, predictions {entry}").json(out)
+    responses = read_all(spark, out, f"request_id string, n_transactions bigint, predictions {entry}", "json")
     rejected = F.size(F.filter("predictions", lambda r: r["status"] == decide.REJECTED))
     scored = F.size(F.filter("predictions", lambda r: r["fraud_probability"].between(0, 1)))
     return responses.select(
@@ -676,7 +734,7 @@ def stream_responses(spark, sf):
     out, _ = _scored_stream(spark, sf)
     entry = ("array<struct<fraud_probability:double,is_fraud_predicted:boolean,status:string,"
              "threshold:double,model_used:string>>")
-    responses = spark.read.schema(f"request_id string, n_transactions bigint, predictions {entry}").json(out)
+    responses = read_all(spark, out, f"request_id string, n_transactions bigint, predictions {entry}", "json")
     flagged = F.size(F.filter("predictions", lambda r: r["is_fraud_predicted"]))
     return responses.select("request_id", "n_transactions", flagged.alias("n_flagged"))
 
@@ -713,13 +771,10 @@ def stream_reset(spark, sf):
     """A higher epoch clears the history of a card: the second half of the time starts anew."""
     rows = fixtures.txn(spark, sf)
     middle = rows.agg(((F.min("unix_time") + F.max("unix_time")) / 2).cast("bigint")).first()[0]
-    source, out, checkpoint = (fresh_path(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
     marked = rows.withColumn("history_epoch", (F.col("unix_time") > middle).cast("bigint"))
-    for late in (False, True):
-        marked.where((F.col("history_epoch") == 1) == late).write.mode("append").parquet(source)
-        stream = stream_history(spark.readStream.schema(marked.schema).parquet(source), ("unix_time", "trans_num"))
-        stream_to_table(stream, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out).select("trans_num", "history_epoch", *history.COLUMNS)
+    parts = [marked.where((F.col("history_epoch") == 1) == late) for late in (False, True)]
+    got = _arrivals(spark, parts, lambda x: stream_history(x, ("unix_time", "trans_num")))
+    return got.select("trans_num", "history_epoch", *history.COLUMNS)
 
 
 # --- learning: full outputs (rows only), and beside them what SQL can say about them ---------------

@@ -430,6 +430,14 @@ FROM (SELECT model, y, min(prob) AS lo, max(prob) AS hi FROM scores GROUP BY mod
     "stream_features": _sql(_HISTORY, f"""
 SELECT trans_num, {_i('uid_time_since_last uid_txn_1h uid_txn_24h uid_txn_7d')},
   {_r('uid_dist_from_prev prior_mean prior_std')} FROM hist"""),
+    "carry_features": _sql(_HISTORY, f"""
+SELECT trans_num, {_i('uid_time_since_last uid_txn_1h uid_txn_24h uid_txn_7d')},
+  {_r('uid_dist_from_prev prior_mean prior_std')} FROM hist"""),
+    "stream_carried": _sql(_HISTORY, f"""
+SELECT trans_num, {_i('uid_time_since_last uid_txn_1h uid_txn_24h uid_txn_7d')},
+  {_r('uid_dist_from_prev prior_mean prior_std')} FROM hist WHERE unix_time > (SELECT (min(unix_time) + max(unix_time)) // 2 FROM hist)"""),
+    "stream_distinct": _sql(["base"], "SELECT count(*) AS n_rows, sum(trans_num)::BIGINT AS id_sum, max(trans_num) AS id_max FROM base"),
+    "published_batches": _sql(["base"], f"SELECT trans_num, {_r('amt')} FROM base"),
     "stream_responses": _sql(["base"], """
 SELECT lpad(CAST(trans_num // 8 AS VARCHAR), 12, '0') AS request_id, count(*) AS n_transactions,
   count(*) FILTER (amt > 300) AS n_flagged FROM base GROUP BY 1"""),
