@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardwatch.llm.common import table, words
+from cardwatch.llm.common import lower_words, table
 from cardwatch.llm.components import components
 from cardwatch.runtime import lookup_join, stored
 
@@ -57,7 +57,7 @@ def shingles(text: str | None, size: int):
     import numpy as np
     import xxhash
 
-    found = [xxhash.xxh3_64_intdigest(w) for w in words(text.lower() if text and text.isascii() else lower(text))]
+    found = [xxhash.xxh3_64_intdigest(w) for w in lower_words(text)]
     n = len(found)
     if not n:
         return np.zeros(0, np.uint64)
@@ -69,14 +69,6 @@ def shingles(text: str | None, size: int):
     return np.unique(total)
 
 
-def lower(text: str | None) -> str | None:
-    """Lower-case A-Z and nothing else."""
-    return text.translate(LOWER) if text else text
-
-
-LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def super_minhash(elements, starts, slots: int = SLOTS):
     """Signatures (documents, slots) of concatenated sets: elements[starts[d]:starts[d + 1]] is one set.
 
