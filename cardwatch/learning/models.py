@@ -9,7 +9,6 @@ from pyspark.ml.base import Estimator
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cardwatch.operators.decide import add_tiers
@@ -157,29 +156,6 @@ def answer(scored: DataFrame, members: list[str], compat: bool = False) -> DataF
     return add_tiers(chosen, compat)
 
 
-#: labelled rows a calibration is fitted on; its pools end on the driver, so they are bounded
-CALIBRATION_ROWS = 2_000_000
-
-
-def fit_calibration(scores: DataFrame, score: str, label: str = TARGET,
-                    max_rows: int = CALIBRATION_ROWS) -> IsotonicRegressionModel:
-    """Isotonic map from raw to calibrated score. Equal scores are first merged with their weight.
-
-    At most about ``max_rows`` labelled rows are used, drawn by a seeded generator; fewer are all used.
-    """
-    n = scores.count()
-    if n > max_rows:
-        scores = scores.withColumn("_n", F.rand(SEED)).where(F.col("_n") < max_rows / n).drop("_n")
-    points = scores.groupBy(F.col(score).cast("double").alias("features")).agg(
-        F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
-    return IsotonicRegression(weightCol="weight").fit(points)
-
-
-def calibrate(scores: DataFrame, model: IsotonicRegressionModel, score: str, out: str) -> DataFrame:
-    return model.setFeaturesCol("_score").setPredictionCol(out).transform(
-        scores.withColumn("_score", F.col(score).cast("double"))).drop("_score")
-
-
 def check_reload(spark: SparkSession, ensemble: Ensemble) -> None:
     """A zero row must give a two-class probability from every reloaded member."""
     zero = spark.createDataFrame([tuple(0.0 for _ in ensemble.features)], ensemble.features)

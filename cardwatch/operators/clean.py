@@ -41,20 +41,21 @@ def distinct_rows(df: DataFrame, ignore: tuple[str, ...] = ("trans_num", *PERSON
     """Full-row distinct over the business columns; of a set of copies the lowest id stays.
 
     Only 128-bit digests of rows and their ids are shuffled: they give the ids of surplus copies, which leave by an anti-join, as a broadcast
-    where they are counted few. So unique rows do not move. ``keep`` identifies a row; rows that share one and are equal leave one.
+    where they are counted few. So unique rows do not move.
     """
     business = [F.col(f"`{c}`") for c in df.columns if c not in ignore]
     marks = [F.xxhash64(F.lit(k), *[c.isNull() for c in business], *business).alias(f"mark{k}") for k in (1, 2)]
-    marked = df.select(F.col(keep).alias("id"), *marks)
-    groups = marked.groupBy("mark1", "mark2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    marked, by = df.select("*", *marks), ["mark1", "mark2"]
+    groups = marked.groupBy(by).agg(F.min(keep).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
     copies = stored(groups.drop("n"), "copies")
-    members = stored(lookup_join(marked, copies, ["mark1", "mark2"], "inner").select("id", "first"), "members")
-    gone = members.where(F.col("id") != F.col("first")).select(F.col("id").alias(keep)).distinct()
-    left = lookup_join(df, gone, keep, "left_anti")
-    twice = members.where(F.col("id") == F.col("first")).groupBy("id").count().where("count > 1").select(F.col("id").alias(keep))
-    if twice.isEmpty():
-        return left
-    return lookup_join(left, twice, keep, "left_anti").unionByName(lookup_join(left, twice, keep, "left_semi").dropDuplicates())
+    members = stored(lookup_join(marked.select(keep, *by), copies, by, "inner"), "members")
+    gone = members.where(F.col(keep) != F.col("first")).select(keep, *by).distinct()
+    left = lookup_join(marked, gone, [keep, *by], "left_anti")
+    twice = members.where(F.col(keep) == F.col("first")).groupBy(keep, *by).count().where("count > 1").drop("count")
+    if not twice.isEmpty():
+        again = lookup_join(left, twice, [keep, *by], "left_semi").dropDuplicates()
+        left = lookup_join(left, twice, [keep, *by], "left_anti").unionByName(again)
+    return left.drop(*by)
 
 
 def add_keys(df: DataFrame, anchored: bool = True) -> DataFrame:

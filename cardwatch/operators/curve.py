@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cardwatch.operators.running import running_sums, value_chunk
-from cardwatch.runtime import lookup_join, stored
+from cardwatch.operators.running import range_chunks, running_sums
+from cardwatch.runtime import ROWS_PER_RANGE, lookup_join, setting, stored
 from cardwatch.schema import F1_EPSILON, HISTOGRAM_BINS
 
 
@@ -166,7 +166,8 @@ def corner_points(points: DataFrame) -> DataFrame:
     is carried in from the table of range starts.
     """
     points = stored(points, "curve")
-    chunked = value_chunk(points, "threshold", points.count())
+    per_range = setting(points.sparkSession, "rowsPerRange", ROWS_PER_RANGE)
+    chunked = range_chunks(points, ["threshold", "model"], points.count(), per_range, "curve-ranges")
     step = F.struct("pos", "n")
     inside = W.partitionBy("model", "chunk").orderBy(F.desc("threshold"))
     starts = chunked.groupBy("model", "chunk").agg(F.max_by(step, "threshold").alias("first_step"))

@@ -1,6 +1,6 @@
 """Ordered sums, ranks and medians that never sort a whole group in one task.
 
-All of them work in two levels. Rows get a chunk number that grows with the wanted order. The
+All of them work in two levels. Rows get a chunk number that grows with the wanted order, from Spark's range partitioning or a hash prefix. The
 chunk totals, few by construction, are accumulated across chunks; inside a chunk a window adds
 the rest. The result is exact and a group of any size is spread over many tasks.
 """
@@ -11,30 +11,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cardwatch.runtime import ROWS_PER_RANGE, setting, stored
 
-#: least and most halvings of the value range; 2**16 ranges of ROWS_PER_RANGE rows are 6 * 10**10 distinct scores
-_LEVELS = (4, 16)
-
-
-def value_chunk(df: DataFrame, column: str, rows: int, source: DataFrame | None = None) -> DataFrame:
-    """Add ``chunk``: which of about equally filled value ranges a number falls in.
-
-    There are enough ranges for ``rows`` rows at ROWS_PER_RANGE each. The range limits are quantiles of the whole column, found in
-    one aggregate. They only balance the work; equal values share a chunk and order is kept, so they cannot change a result.
-    """
-    wanted = 4 * rows // setting(df.sparkSession, "rowsPerRange", ROWS_PER_RANGE)
-    levels = min(max(wanted.bit_length(), _LEVELS[0]), _LEVELS[1])
-    parts = 2 ** levels
-    limits = (source or df).agg(
-        F.percentile_approx(column, F.lit([i / parts for i in range(1, parts)]), 20 * parts).alias("limits")
-    ).scalar()
-    steps = F.array(*[F.lit(2 ** k) for k in reversed(range(levels))])
-    search = F.aggregate(
-        steps, F.lit(0),
-        lambda at, step: F.when(F.get(F.col("_limits"), at + step - 1) < F.col(column), at + step).otherwise(at),
-    )
-    return df.withColumn("_limits", limits).withColumn("chunk", search).drop("_limits")
-
-
 def running_sums(points: DataFrame, group: list[str], order: str, sums: list[str],
                  descending: bool = False) -> DataFrame:
     """For rows unique in (group, order): ``run_<c>`` up to and with the row, ``all_<c>`` per group.
@@ -52,7 +28,7 @@ def running_sums(points: DataFrame, group: list[str], order: str, sums: list[str
             **{f"run_{c}": F.sum(c).over(upto(group)) for c in sums},
             **{f"all_{c}": F.sum(c).over(W.partitionBy(*group)) for c in sums},
         })
-    chunked = value_chunk(points, order, rows)
+    chunked = range_chunks(points, [order, *group], rows, setting(spark, "rowsPerRange", ROWS_PER_RANGE), "ranges")
     ahead = W.partitionBy(*group).orderBy(direction("chunk")).rowsBetween(W.unboundedPreceding, -1)
     totals = (
         chunked.groupBy(*group, "chunk").agg(*[F.sum(c).alias(f"part_{c}") for c in sums])

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cardwatch.functions.scalar import add_calendar, add_drift, add_row_features, register_sql_functions
 from cardwatch.learning import attribution, tuning
+from cardwatch.learning.isotonic import calibrate, fit_isotonic
 from cardwatch.learning.models import (
-    Ensemble, answer, assembler, calibrate, default_members, fit_calibration, fit_member, training_matrix,
+    Ensemble, answer, assembler, default_members, fit_member, training_matrix,
 )
 from cardwatch.operators import carry, clean, curve, decide, encode, history, select, split, stats
 from cardwatch.plans import jobs
@@ -851,7 +852,7 @@ def trees_kept(spark, sf):
 def calibrate_isotonic(spark, sf):
     """Isotonic calibration of the rounded amount score, fitted on the train rows and applied to the test rows."""
     rows = _population(_split(spark, sf)).withColumn("score", F.round("amt_zscore_global", 1))
-    model = fit_calibration(_train(rows), "score")
+    model = fit_isotonic(_train(rows), "score")
     return calibrate(_test(rows).select("trans_num", "score"), model, "score", "calibrated")
 
 

@@ -8,8 +8,9 @@ from pyspark.ml.base import Estimator
 from pyspark.sql import DataFrame, functions as F
 
 from cardwatch.learning.attribution import attribute
+from cardwatch.learning.isotonic import calibrate, fit_isotonic
 from cardwatch.learning.models import (
-    Ensemble, attribution_base, calibrate, check_reload, default_members, fit_calibration, training_matrix,
+    Ensemble, attribution_base, check_reload, default_members, training_matrix,
 )
 from cardwatch.learning.tuning import tuned_members
 from cardwatch.operators import select
@@ -84,7 +85,7 @@ def train_and_evaluate(features: DataFrame, selected: list[str], learners: dict[
     names = [*learners, ENSEMBLE]
     held_out = stored(ensemble.score(train.where("is_calibration"), keep=["trans_num", "is_fraud"]), "held-out")
     thresholds = curve_summary(curve_points(long_scores(held_out, names))).select("model", "threshold")
-    model = fit_calibration(held_out, calibrated)
+    model = fit_isotonic(held_out, calibrated)
     scored = calibrate(ensemble.score(test, keep=["trans_num", "is_fraud"]), model, calibrated, f"{calibrated}_cal")
     scores = long_scores(stored(scored, "scores"), [*names, f"{calibrated}_cal"])
     return Trained(ensemble, thresholds, scores, compare_models(scores))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from cardwatch.learning import attribution, models, tuning
+from cardwatch.learning import attribution, isotonic, models, tuning
 from cardwatch.operators import clean
 from cardwatch.plans import jobs
 from cardwatch.runtime import stored
@@ -96,7 +96,7 @@ def test_calibration_is_monotone(spark):
     rng = np.random.default_rng(1)
     rows = [(float(round(p, 2)), int(rng.random() < p * p)) for p in rng.random(500)]
     df = spark.createDataFrame(rows, "s double, is_fraud int")
-    out = models.calibrate(df, models.fit_calibration(df, "s"), "s", "c").orderBy("s").toPandas()
+    out = isotonic.calibrate(df, isotonic.fit_isotonic(df, "s"), "s", "c").orderBy("s").toPandas()
     assert out["c"].is_monotonic_increasing and out["c"].between(0, 1).all()
 
 
@@ -157,3 +157,41 @@ def test_full_run(spark, sf, tmp_path):
     assert set(written["thresholds"].asDict()) == {"model_a", "model_b", "model_c", "ensemble"}
     table = spark.read.option("header", True).csv(str(tmp_path / "run" / "comparison"))
     assert table.count() == done.comparison.count() == 5
+
+
+def pooled(points):
+    """Pool-adjacent-violators over (score, label) pairs: score to fitted value."""
+    blocks = []
+    for score in sorted({s for s, _ in points}):
+        own = [y for s, y in points if s == score]
+        blocks.append([sum(own), len(own), [score]])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            hits, n, scores = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + hits, blocks[-1][1] + n, blocks[-1][2] + scores]
+    return {s: hits / n for hits, n, scores in blocks for s in scores}
+
+
+@pytest.mark.parametrize("per_range, pools", [(1_000_000, 100_000), (7, 3)])
+def test_isotonic_fit_by_ranges_equals_pooling(spark, limits, monkeypatch, per_range, pools):
+    limits(rowsPerRange=per_range)
+    monkeypatch.setattr(isotonic, "MERGED", 3)
+    monkeypatch.setattr(isotonic, "POOLS", pools)
+    draw = np.random.default_rng(3)
+    scores = np.round(draw.normal(size=400), 2)
+    labels = (draw.random(400) < 1 / (1 + np.exp(-2 * scores))).astype(int)
+    rows = list(zip(scores.tolist(), labels.tolist()))
+    df = spark.createDataFrame([*rows, (None, 1), (float("nan"), 1), (0.5, None)], "s double, is_fraud int")
+    fitted = stored(isotonic.fit_isotonic(df, "s"), "pools")
+    want, top = pooled(rows), max(scores)
+    asked = spark.createDataFrame([(float(s),) for s in {*scores, -9.0, 9.0}] + [(None,), (float("nan"),)] * 2, "s double")
+    got = [(r["s"], r["c"]) for r in isotonic.calibrate(asked, fitted, "s", "c").collect()]
+    assert len(got) == asked.count() and sum(c is None for _, c in got) == 4
+    for s, c in got:
+        if s is not None and s == s:
+            assert abs(c - want.get(s, want[min(scores)] if s < 0 else want[top])) < 1e-12
+    edges = [(r["low"], r["high"], r["value"]) for r in fitted.orderBy("low").collect()]
+    between = [(a[1] + b[0]) / 2 for a, b in zip(edges, edges[1:])]
+    middle = isotonic.calibrate(spark.createDataFrame([(x,) for x in between], "s double"), fitted, "s", "c").orderBy("s").collect()
+    assert np.allclose([r["c"] for r in middle], [(a[2] + b[2]) / 2 for a, b in zip(edges, edges[1:])])
+    none = isotonic.fit_isotonic(df.limit(0), "s")
+    assert none.count() == 0 and isotonic.calibrate(asked, none, "s", "c").where("c is not null").count() == 0

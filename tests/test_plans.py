@@ -101,3 +101,43 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         runtime.shared_dir(Session())
+
+
+def test_correlations_of_pairs_in_one_scan(spark, monkeypatch):
+    """Many tasks and batches, nulls, constants, constants on a pair's rows, large offsets and columns without a value."""
+    import numpy as np
+
+    from cardwatch.operators import select
+
+    monkeypatch.setattr(select, "FAN_IN", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        draw = np.random.default_rng(2)
+        x = draw.normal(size=(400, 6))
+        x[:, 1] = 1e9 + x[:, 0] + 0.1 * x[:, 1]
+        x[:, 2] = 0.1
+        x[draw.random((400, 6)) < 0.2] = np.nan
+        x[:, 4] = np.where(np.isnan(x[:, 3]), x[:, 4], 7.7)
+        x[:, 5] = np.nan
+        names = list("abcdef")
+        df = spark.createDataFrame([[None if v != v else float(v) for v in row] for row in x], ", ".join(f"{n} double" for n in names)).repartition(11)
+        found = {(r["a"], r["b"]): r["r"] for r in select.correlation_matrix(df, names).collect()}
+        assert len(found) == 15
+        x[:, 1] -= 1e9
+        for (a, b), r in found.items():
+            both = x[~np.isnan(x[:, [names.index(a), names.index(b)]]).any(axis=1)][:, [names.index(a), names.index(b)]]
+            steady = len(both) < 2 or (both == both[0]).all(axis=0).any()
+            assert (r is None) == steady and (steady or abs(r - abs(np.corrcoef(both.T)[0, 1])) < 1e-9)
+        assert {r["r"] for r in select.correlation_matrix(df.limit(0), names).collect()} == {None}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_distinct_rows_moves_only_digests(spark):
+    from cardwatch.operators import clean
+
+    rows = [(1, "a", 1.0), (2, "a", 1.0), (3, None, 1.0), (4, "", 1.0), (5, None, 1.0), (6, "b", None), (6, "b", None), (7, "b", 2.0), (7, "a", 1.0)]
+    df = spark.createDataFrame(rows, "trans_num long, x string, y double")
+    got = sorted(map(tuple, clean.distinct_rows(df).collect()), key=str)
+    assert got == sorted([(1, "a", 1.0), (3, None, 1.0), (4, "", 1.0), (6, "b", None), (7, "b", 2.0)], key=str)
+    assert clean.distinct_rows(df.limit(0)).count() == 0
