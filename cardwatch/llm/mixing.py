@@ -19,20 +19,19 @@ from cardwatch.llm.common import WORD, n_words, table
 from cardwatch.runtime import lookup_join, stored
 
 BUCKETS = 1024
-#: rounds after which the level must stand; each but the last clamps at least one more source
-MAX_ROUNDS = 10_000
 
 
 def targets(sources: DataFrame, budget: float, max_epochs: float) -> DataFrame:
     """Add ``target`` to (source, source_size, weight): the water-filled level times weight, at most the cap.
 
-    The level is refined by one-row aggregates; the table of sources itself never leaves the cluster.
+    The level is refined by one-row aggregates; the table of sources itself never leaves the cluster. Every round but the last
+    clamps at least one more source, so the rounds end.
     """
     cap = F.col("source_size") * F.lit(float(max_epochs))
     weight = F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0))
     exact = weight.cast("decimal(28,9)")
     level: float | None = 0.0
-    for _ in range(MAX_ROUNDS):
+    while True:
         free = cap > weight * F.lit(level)
         row = sources.agg(
             F.sum(F.when(~free, cap).otherwise(F.lit(0.0)).cast("decimal(28,3)")).cast("double").alias("held"),

@@ -8,8 +8,9 @@ then ranked per query. Memory: one block and its lists; what is shuffled: querie
 
 Edges: vectors that are null or hold null, NaN or infinite components, and rows without an id, take no part; shorter vectors count
 as having zeros; ties go to the smaller id; equal query rows are one query, candidates are all rows with another id, repeated ones each;
-fewer than k candidates give fewer rows; an empty table gives none; only the id and vector columns are read. Components beyond 2**27
-in size are cut there, so that sums stay exact.
+fewer than k candidates give fewer rows; an empty table gives none; only the id and vector columns are read. Scores are exact whatever the size of
+the components: where products may pass 64 bits, a block is searched with Python's integers. A score beyond a long is cut to it after its
+block has ranked it.
 """
 
 from __future__ import annotations
@@ -18,16 +19,17 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cardwatch.llm.common import table
 
-SCALE, LIMIT = 256, 1 << 27
+SCALE = 256
 #: candidates of a block, blocks wanted of small tables too, queries of a group, first depth
 BLOCK, BLOCKS, GROUP, DEPTH = 100_000, 32, 20_000, 16
 
 
 def whole_components(vector: Column) -> Column:
-    """floor(256 x) of every component as long, or null where the vector takes no part."""
+    """floor(256 x) of every component, as a double that holds it exactly, or null where the vector takes no part."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    put = F.transform(vector, lambda x: F.least(F.greatest(
-        F.floor(F.lit(float(SCALE)) * x.cast("double")), F.lit(-LIMIT)), F.lit(LIMIT)).cast("long"))
+    scaled = F.transform(vector, lambda x: F.lit(float(SCALE)) * x.cast("double"))
+    # a double of 2**52 or more is whole; floor() itself would cut it to a long
+    put = F.transform(scaled, lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x))
     return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(True)), put)
 
 
@@ -37,7 +39,8 @@ class Lists:
     def __init__(self, ids, values):
         import numpy as np
 
-        self.ids, self.values = ids, values
+        self.ids, self.values, self.largest = ids, values, float(np.abs(values).max(initial=0))
+        self.exact = values.astype(np.int64) if self.largest < 1 << 62 else None
         self.order = np.argsort(values, axis=0, kind="stable").T.copy()  # (dimensions, rows)
         self.sorted = np.take_along_axis(values, self.order.T, axis=0).T.copy()
 
@@ -45,6 +48,9 @@ class Lists:
         """(id, score) of the k best candidates with another id, by falling score and rising id."""
         import numpy as np
 
+        if self.largest * float(np.abs(query).max(initial=0)) * len(query) >= 1 << 62 or self.exact is None:
+            return self.best_of_large(query_id, query, k)
+        query = query.astype(np.int64)
         rows, used = len(self.ids), np.flatnonzero(query)
         weight = query[used]
         down = weight > 0
@@ -61,12 +67,12 @@ class Lists:
             fresh &= ~seen
             new = np.flatnonzero(fresh)
             seen |= fresh
-            found, scores = np.concatenate([found, new]), np.concatenate([scores, self.values[new] @ query])
+            found, scores = np.concatenate([found, new]), np.concatenate([scores, self.exact[new] @ query])
             if len(found) > k:  # all that ties with the k-th stays
                 stay = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
                 found, scores = found[stay], scores[stay]
             at = np.where(down, rows - stop, stop - 1)
-            if len(found) >= k and int((weight * self.sorted[used, at]).sum()) < int(scores.min()):
+            if len(found) >= k and int((weight * self.sorted[used, at].astype(np.int64)).sum()) < int(scores.min()):
                 break
             start, depth = stop, depth * 2
         if not len(used):  # a query of zeros scores 0 everywhere
@@ -76,6 +82,34 @@ class Lists:
         return self.ids[found][order].tolist(), scores[order].tolist()
 
 
+    def best_of_large(self, query_id: int, query, k: int):
+        """``best`` with integers of any size."""
+        import heapq
+
+        import numpy as np
+
+        rows, used = len(self.ids), np.flatnonzero(query).tolist()
+        weight = [int(query[d]) for d in used]
+        score = lambda row: sum(w * int(self.values[row, d]) for w, d in zip(weight, used, strict=True))
+        own = [r for r in range(rows) if self.ids[r] == query_id]
+        met, best, start, depth = set(own), [], 0, DEPTH
+        while start < rows and used:
+            stop, new = min(depth, rows), set()
+            for w, d in zip(weight, used, strict=True):
+                new.update((self.order[d, rows - stop:rows - start] if w > 0 else self.order[d, start:stop]).tolist())
+            new -= met
+            met |= new
+            best = heapq.nsmallest(k, [*best, *((-score(r), int(self.ids[r])) for r in new)])
+            bound = sum(w * int(self.sorted[d, rows - stop if w > 0 else stop - 1]) for w, d in zip(weight, used, strict=True))
+            if len(best) == k and bound < -best[-1][0]:
+                break
+            start, depth = stop, depth * 2
+        if not used:
+            best = heapq.nsmallest(k, [(0, int(i)) for i in self.ids if i != query_id])
+        longest = (1 << 63) - 1
+        return [i for _, i in best], [max(-longest, min(longest, -s)) for s, _ in best]
+
+
 def searcher(k: int):
     """mapInPandas function over rows sorted by cell, candidates first: (query_id, vec_id, score)."""
 
@@ -98,11 +132,11 @@ def searcher(k: int):
                 if not ids:
                     continue
                 if lists is None:
-                    values = np.zeros((len(ids), max(map(len, vectors))), np.int64)
+                    values = np.zeros((len(ids), max(map(len, vectors))))
                     for row, own in enumerate(vectors):
                         values[row, :len(own)] = own
                     lists, vectors = Lists(np.array(ids, np.int64), values), []
-                own = np.zeros(lists.values.shape[1], np.int64)
+                own = np.zeros(lists.values.shape[1])
                 own[:len(vector)] = vector[:len(own)]
                 rows += [(vec_id, i, s) for i, s in zip(*lists.best(vec_id, own, k), strict=True)]
             yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
@@ -111,7 +145,7 @@ def searcher(k: int):
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score; both tables hold vec_id and vector (array of long)."""
+    """query_id, rank, vec_id, score; both tables hold vec_id and vector (array of whole numbers as double)."""
     vectors, queries = (x.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()) for x in (vectors, queries))
     queries = queries.dropDuplicates(["vec_id", "vector"])
     n, asked = vectors.count(), queries.count()

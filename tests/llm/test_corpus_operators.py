@@ -93,7 +93,7 @@ def test_top_k_against_all_scores(spark):
     queries = df.where(F.col("vec_id") % 50 == 0)
     kept = [(r["vec_id"], r["vector"]) for r in df.collect() if r["vec_id"] is not None and r["vector"] is not None]
     assert not {2501, 101} & {i for i, _ in kept if i > 100 and i in (101, 2501) and vectors[i][0] != i}
-    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    dot = lambda a, b: max(1 - (1 << 63), min((1 << 63) - 1, sum(int(x) * int(y) for x, y in zip(a, b))))
     asked = {(i, tuple(v)) for i, v in kept if i % 50 == 0}
     want = defaultdict(list)
     for i, v in asked:
@@ -107,9 +107,26 @@ def test_top_k_against_all_scores(spark):
     assert topk.top_k(few, few.where("vec_id = 0"), k=5).count() == 2
 
 
+def test_top_k_of_large_components_is_exact(spark, monkeypatch):
+    """Components past 2**27 and 2**53, whose products pass 64 bits, between others that differ in the last unit."""
+    monkeypatch.setattr(topk, "DEPTH", 2)
+    draw = np.random.default_rng(8)
+    vectors = [(i, [float(x) for x in draw.normal(size=4) * 10.0 ** draw.integers(-1, 8)]) for i in range(120)]
+    vectors += [(120 + i, [3e7 + i / 256, -1e16, 2e7, 1.0]) for i in range(5)] + [(130 + i, [1e12, 1.0, float(i), 0.0]) for i in range(3)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").select("vec_id", topk.whole_components(F.col("embedding")).alias("vector"))
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in vectors}
+    cut = lambda x: max(1 - (1 << 63), min((1 << 63) - 1, x))
+    got = defaultdict(list)
+    for r in topk.top_k(df, df.where("vec_id % 10 = 0"), k=5).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    for i in got:
+        scores = sorted(((-sum(a * b for a, b in zip(whole[i], whole[j])), j) for j in whole if j != i))[:5]
+        assert sorted(got[i]) == sorted((cut(-s), j) for s, j in scores)
+
+
 def test_blocks_and_groups_do_not_matter(spark, monkeypatch):
     draw = np.random.default_rng(4)
-    df = spark.createDataFrame([(int(i), [int(x) for x in draw.integers(-3, 4, 4)]) for i in range(400)], "vec_id long, vector array<long>")
+    df = spark.createDataFrame([(int(i), [int(x) for x in draw.integers(-3, 4, 4)]) for i in range(400)], "vec_id long, vector array<long>").withColumn("vector", F.col("vector").cast("array<double>"))
     ask = lambda: sorted(map(tuple, topk.top_k(df, df.where("vec_id % 7 = 0"), k=4).collect()))
     whole = ask()
     monkeypatch.setattr(topk, "BLOCK", 60)
