@@ -245,6 +245,26 @@ def test_notices_beside_other_words(spark):
     assert got == [{f} if f != "none" else set() for f, _ in lines]
 
 
+def test_near_licenses_and_denials_are_not_confirmed(spark):
+    others = [
+        "Licensed under the GNU Lesser General Public License, version 3.", "Licensed under the GNU Affero General Public License, version 3.",
+        "Released under the Eclipse Public License 2.0.", "Licensed under the Apache License, Version 1.1.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "This project is not released under the MIT License.", "It is no longer licensed under the terms of the MIT License.",
+        "Copyright 2020 Jane Doe. Released under the Foo Public License 2.0.",
+    ]
+    own = {
+        "GPL": "Copyright 2020 Jane Doe. Released under the GNU General Public License.", "MIT": "We are happy to say: Released under the MIT License.",
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "CC-BY-NC": "Licensed under CC BY-NC 4.0.", "MPL-2.0": "Released under the Mozilla Public License 2.0.",
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("doc_id < 4000")
+    model = licenses.learn(docs, learn_rows=1000, seed=42)
+    assert [line for line in others if any(x[4] for x in model.scan(line))] == []
+    for family, line in own.items():
+        assert [x[1] for x in model.scan(line) if x[4]] == [family], line
+
+
 def test_license_query_finds_the_given_lines(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
