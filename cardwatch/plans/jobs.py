@@ -97,6 +97,7 @@ def full_run(raw: DataFrame, out: str, version: str = "v1", trials: int = TUNING
     """Raw rows to saved artefacts: prepare, select, tune, train, evaluate, write, check.
 
     ``tuning_rows`` bounds the labelled rows of the search (whole cards); ``parallelism`` of its fits run side by side.
+    Finished folds of the search are logged under ``out``: a run started again on the same rows goes on with the search where it stood.
     Intermediate tables are deleted at the end; what is returned reads the artefacts under ``out``.
     """
     with intermediates(raw.sparkSession):
@@ -114,7 +115,7 @@ def _full_run(raw: DataFrame, out: str, version: str, trials: int, spaces: dict[
 
     part = hash_fold(subsample_cards(train, tuning_rows, train.count()))
     matrix = training_matrix(with_defaults(part, selected), selected)
-    learners, tried = tuned_members(matrix, trials, spaces, parallelism=parallelism)
+    learners, tried = tuned_members(matrix, trials, spaces, parallelism=parallelism, log=f"{out}/trial-log")
     done = train_and_evaluate(features, selected, learners)
 
     stats.save(f"{out}/preprocessing")

@@ -195,3 +195,27 @@ def test_isotonic_fit_by_ranges_equals_pooling(spark, limits, monkeypatch, per_r
     assert np.allclose([r["c"] for r in middle], [(a[2] + b[2]) / 2 for a, b in zip(edges, edges[1:])])
     none = isotonic.fit_isotonic(df.limit(0), "s")
     assert none.count() == 0 and isotonic.calibrate(asked, none, "s", "c").where("c is not null").count() == 0
+
+
+def test_a_lost_search_goes_on_where_it_stood(spark, monkeypatch):
+    from cardwatch.runtime import fresh_path
+
+    space, log, ran = {"numTrees": (2, 4, False), "maxDepth": (2, 3, False)}, fresh_path(spark, "trials"), []
+    matrix = spark.range(3)
+    score = lambda m, learner, fold: ran.append((learner.getNumTrees(), fold)) or 0.1 * learner.getNumTrees() + 0.01 * fold
+
+    def lost(m, learner, fold):
+        if len(ran) == 4:
+            raise KeyboardInterrupt  # the driver goes; no fold catches it
+        return score(m, learner, fold)
+
+    monkeypatch.setattr(tuning, "fold_score", lost)
+    with pytest.raises(KeyboardInterrupt):
+        tuning.search(matrix, "forest", 3, space, log=log)
+    assert len(ran) == 4 and tuning.logged(spark, log).count() == 4
+    monkeypatch.setattr(tuning, "fold_score", score)
+    found = tuning.search(matrix, "forest", 3, space, log=log, parallelism=3)
+    assert len(ran) == 9 and sorted((r["trial"], r["fold"]) for r in found.collect()) == [(t, f) for t in range(3) for f in range(3)]
+    again = tuning.search(matrix, "forest", 3, space, log=log)
+    assert len(ran) == 9 and sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, found.collect()), key=str)
+    assert tuning.search(matrix, "forest", 1, space, seed=7, log=log).count() == 3 and len(ran) == 12
