@@ -222,13 +222,13 @@ def unsettled(members: DataFrame, docs: DataFrame, size: int, percent: int) -> D
     counts = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     blocks = lambda n, shingles: F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("long")
     main = F.max(F.struct("n", F.negative("label").alias("label"), "shingles"))
-    split = counts.groupBy("bucket").agg(
+    split = stored(counts.groupBy("bucket").agg(
         F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("labels"), main.alias("main"),
     ).where(F.col("labels") > 1).select(
         "bucket", F.negative("main.label").alias("main"), (blocks(F.col("n"), F.col("shingles")) == 1).alias("whole"),
         blocks(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles")).alias("asking"),
         blocks(F.col("main.n"), F.col("main.shingles")).alias("others"),
-    )
+    ), "neardup-split")
     asks, at = F.col("label") != F.col("main"), F.xxhash64("rep")
     block = F.when(F.col("whole"), F.lit(0)).when(asks, F.pmod(at, F.col("asking"))).otherwise(F.col("asking") + F.pmod(at, F.col("others")))
     last = F.when(F.col("whole"), F.lit(0)).when(asks, F.col("asking") + F.col("others") - 1).otherwise(F.col("asking") - 1)
@@ -308,9 +308,9 @@ def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "bucket", "rep", "degree", F.coalesce("label", "rep").alias("label")
     )
-    mixed_ = named.groupBy("bucket").agg(F.min("label").alias("first"), F.max("label").alias("last")).where(
+    mixed_ = stored(named.groupBy("bucket").agg(F.min("label").alias("first"), F.max("label").alias("last")).where(
         F.col("first") != F.col("last")
-    ).select("bucket")
+    ).select("bucket"), "neardup-mixed")  # written, so that the join has two plain sides and Spark can split a hot bucket
     return stored(named.join(mixed_, "bucket"), "neardup-open")
 
 
@@ -320,7 +320,9 @@ def hub_pairs(members: DataFrame, turn: int) -> DataFrame:
     A hub is the member that shares most buckets with others; in later turns, one such member of a group drawn by hash.
     """
     drawn = F.col("degree") if turn == 0 else F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(1 << 20)) * F.lit(1 << 20) + F.col("degree")
-    hubs = members.groupBy("bucket").agg(F.max(F.struct(drawn.alias("by"), F.negative("rep").alias("rep"), "label")).alias("hub"))
+    hubs = stored(
+        members.groupBy("bucket").agg(F.max(F.struct(drawn.alias("by"), F.negative("rep").alias("rep"), "label")).alias("hub")), "neardup-hubs"
+    )
     both = members.join(hubs.select(
         "bucket", F.negative("hub.rep").alias("hub"), F.col("hub.label").alias("of")), "bucket")
     apart = both.where((F.col("rep") != F.col("hub")) & (F.col("label") != F.col("of")))
