@@ -1,9 +1,11 @@
-"""Weighted tree models, their mean, and isotonic calibration."""
+"""Weighted tree models, how many of their trees stay, and their mean."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
@@ -11,13 +13,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cardwatch.operators.curve import curve_points, curve_summary
 from cardwatch.operators.decide import add_tiers
 from cardwatch.operators.split import early_stop_flag
-from cardwatch.runtime import stored
+from cardwatch.runtime import fresh_path, stored
 from cardwatch.schema import ENSEMBLE, SEED, TARGET
 
 
-#: trees without a lower validation error after which boosting has ended (fixed value)
+#: trees without a better average precision after which boosting has ended (fixed value)
 PATIENCE = 50
 
 
@@ -68,12 +71,68 @@ def training_matrix(train: DataFrame, features: list[str]) -> DataFrame:
 
 
 def fit_member(matrix: DataFrame, learner: Estimator, patience: int = PATIENCE):
-    """Fit without the validation rows. Of a boosted model the first trees stay, as many as the validation rows ask for."""
+    """Fit without the validation rows. Of a boosted model the first trees stay, as many as give the validation rows the best average precision."""
     model = learner.fit(matrix.where(~F.col("is_validation")))
     if not isinstance(model, GBTClassificationModel):
         return model
-    errors = model.evaluateEachIteration(matrix.where("is_validation"))
-    return first_trees(model, trees_to_keep(errors, patience))
+    found = staged_precision(model, matrix.where("is_validation"))
+    if not any(found):  # nothing to judge by
+        return model
+    return first_trees(model, trees_to_keep([-x for x in found], patience))
+
+
+def saved_nodes(model) -> dict[int, dict[int, dict]]:
+    """Nodes by tree and number, from the model's own saved table; as many as the model has."""
+    spark = SparkSession.active()
+    path = fresh_path(spark, "model")
+    model.save(path)
+    nodes: dict[int, dict] = {}
+    for row in spark.read.parquet(f"{path}/data").collect():
+        nodes.setdefault(row["treeID"], {})[row["nodeData"]["id"]] = row["nodeData"]
+    return nodes
+
+
+def staged_margins(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
+    """(trees, y, margin): every row's margin under the first tree, the first two, and so on, in one scan."""
+    tables = saved_nodes(model)
+    trees = []
+    for tree in sorted(tables):
+        own = [tables[tree][k] for k in range(len(tables[tree]))]
+        trees.append((
+            np.array([n["split"]["featureIndex"] for n in own]),
+            np.array([(n["split"]["leftCategoriesOrThreshold"] or [0.0])[0] for n in own]),
+            np.array([n["leftChild"] for n in own]), np.array([n["rightChild"] for n in own]),
+            np.array([n["prediction"] for n in own]) * model.treeWeights[tree],
+        ))
+
+    def stages(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for start in range(0, len(batch), max(1, 500_000 // len(trees))):
+                part = batch.iloc[start:start + max(1, 500_000 // len(trees))]
+                x = np.array(part["x"].tolist(), dtype=float).reshape(len(part), -1)
+                margin, each = np.empty((len(part), len(trees))), np.arange(len(part))
+                for k, (feature, limit, left, right, value) in enumerate(trees):
+                    at = np.zeros(len(part), np.int64)
+                    while (inner := left[at] >= 0).any():
+                        down = np.where(x[each, np.maximum(feature[at], 0)] <= limit[at], left[at], right[at])
+                        at = np.where(inner, down, at)
+                    margin[:, k] = value[at]
+                yield pd.DataFrame({
+                    "trees": np.tile(np.arange(1, len(trees) + 1, dtype=np.int32), len(part)),
+                    "y": np.repeat(part["y"].to_numpy(), len(trees)), "margin": np.cumsum(margin, axis=1).ravel(),
+                })
+
+    narrow = rows.select(vector_to_array("features").alias("x"), F.col(TARGET).cast("int").alias("y"))
+    return narrow.mapInPandas(stages, "trees int, y int, margin double")
+
+
+def staged_precision(model: GBTClassificationModel, rows: DataFrame) -> list[float]:
+    """Average precision under the first tree, the first two, and so on; empty without rows."""
+    long = staged_margins(model, rows).select(F.col("trees").alias("model"), "y", F.col("margin").alias("prob"))
+    found = {r["model"]: r["pr_auc"] for r in curve_summary(curve_points(long)).select("model", "pr_auc").collect()}
+    return [found[k] for k in sorted(found)]
 
 
 def trees_to_keep(errors: list[float], patience: int) -> int:
@@ -88,20 +147,17 @@ def trees_to_keep(errors: list[float], patience: int) -> int:
 
 
 def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
-    """The boosted model cut to its first ``n`` trees, with the same columns."""
+    """The boosted model cut to its first ``n`` trees, with the same columns: saved, cut as tables, and loaded again."""
     if n >= model.getNumTrees:
         return model
-    gateway, java = SparkSession.getActiveSession().sparkContext._gateway, model._java_obj
-    jvm, trees = gateway.jvm.org.apache.spark.ml, java.trees()
-    kept = gateway.new_array(jvm.regression.DecisionTreeRegressionModel, n)
-    weights = gateway.new_array(gateway.jvm.double, n)
-    for k in range(n):
-        kept[k], weights[k] = trees[k], java.treeWeights()[k]
-    short = GBTClassificationModel(jvm.classification.GBTClassificationModel(java.uid(), kept, weights))
-    for name in ("featuresCol", "labelCol", "predictionCol", "probabilityCol", "rawPredictionCol"):
-        short._set(**{name: model.getOrDefault(name)})
-    short._transfer_params_to_java()
-    return short
+    spark = SparkSession.active()
+    whole, short = fresh_path(spark, "model"), fresh_path(spark, "model")
+    model.save(whole)
+    spark.read.parquet(f"{whole}/data").where(F.col("treeID") < n).write.parquet(f"{short}/data")
+    spark.read.parquet(f"{whole}/treesMetadata").where(F.col("_1") < n).write.parquet(f"{short}/treesMetadata")
+    about = json.loads(spark.read.text(f"{whole}/metadata").first()[0]) | {"numTrees": n}
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.text(f"{short}/metadata")
+    return GBTClassificationModel.load(short)
 
 
 @dataclass

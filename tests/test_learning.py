@@ -219,3 +219,42 @@ def test_a_lost_search_goes_on_where_it_stood(spark, monkeypatch):
     again = tuning.search(matrix, "forest", 3, space, log=log)
     assert len(ran) == 9 and sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, found.collect()), key=str)
     assert tuning.search(matrix, "forest", 1, space, seed=7, log=log).count() == 3 and len(ran) == 12
+
+
+def average_precision(y, margin):
+    """Area under precision by recall, equal scores together."""
+    found, hits, seen = 0.0, 0, 0
+    for score in sorted(set(margin), reverse=True):
+        own = [t for t, m in zip(y, margin) if m == score]
+        hits, seen = hits + sum(own), seen + len(own)
+        found += sum(own) * hits / seen
+    return found / sum(y)
+
+
+def test_trees_kept_by_average_precision_equal_refits(spark):
+    """Every prefix of the trees is the model refitted with so many rounds; the best by average precision stays."""
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(600, 4))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + draw.normal(size=600) > 1).astype(float)
+    columns = [f"f{k}" for k in range(4)]
+    df = spark.createDataFrame([(int(k), *map(float, r), float(t), 1.0, bool(k % 3 == 0)) for k, (r, t) in enumerate(zip(x, y))],
+                               ["trans_num", *columns, "is_fraud", "w", "is_validation"])
+    matrix = stored(models.assembler(columns).transform(df).select("trans_num", "features", "is_fraud", "w", "is_validation"), "matrix").coalesce(1)
+    make = lambda n: models.boosted_trees("m", maxIter=n, maxDepth=3, minInstancesPerNode=5)
+    train, apart = matrix.where("not is_validation"), matrix.where("is_validation")
+    whole = make(6).fit(train)
+    staged = models.staged_precision(whole, apart)
+    want = []
+    for n in range(1, 7):
+        scored = make(n).fit(train).transform(apart).select("is_fraud", vector_to_array("m_raw")[1].alias("s")).collect()
+        want.append(average_precision([r["is_fraud"] for r in scored], [round(r["s"], 12) for r in scored]))
+    assert np.allclose(staged, want, atol=1e-9)
+    kept = models.fit_member(matrix, make(6), patience=2)
+    best = models.trees_to_keep([-a for a in want], 2)
+    assert kept.getNumTrees == best
+    short = models.first_trees(whole, 2)
+    same = make(2).fit(train)
+    scores = lambda m: [(r["s"], r["p"]) for r in m.transform(apart).orderBy("trans_num").select(
+        vector_to_array("m_raw")[1].alias("s"), vector_to_array("m_prob")[1].alias("p")).collect()]
+    assert short.getNumTrees == 2 and np.allclose(scores(short), scores(same))
+    assert models.fit_member(matrix.withColumn("is_validation", F.lit(False)), make(3)).getNumTrees == 3
