@@ -13,7 +13,7 @@ from cardwatch.functions.scalar import add_calendar, add_drift, add_row_features
 from cardwatch.learning import attribution, tuning
 from cardwatch.learning.isotonic import calibrate, fit_isotonic
 from cardwatch.learning.models import (
-    Ensemble, answer, assembler, default_members, fit_member, training_matrix,
+    Ensemble, answer, assembler, attribution_base, default_members, fit_member, training_matrix,
 )
 from cardwatch.operators import carry, clean, curve, decide, encode, history, select, split, stats
 from cardwatch.plans import jobs
@@ -754,6 +754,18 @@ def stream_scored(spark, sf):
     return _answers(spark, out)
 
 
+@query()
+def stream_score_check(spark, sf):
+    """Every row answered by the stream, with whether its probability is the batch's of the model that answered."""
+    features, fitted, ensemble = _fitted(spark, sf, ["model_a", "model_b"])
+    out, _ = _scored_stream(spark, sf, stats=fitted, ensemble=ensemble, nested=False)
+    answers = read_all(spark, out, "request_id string, pos bigint, fraud_probability double, model_used string", "json")
+    streamed = answers.select((F.col("request_id").cast("bigint") * 8 + F.col("pos")).alias("trans_num"), "fraud_probability", "model_used")
+    batch = ensemble.score(clean.with_defaults(features, SELECTED_FEATURES), keep=["trans_num"])
+    wanted = F.coalesce(*[F.when(F.col("model_used") == m, F.col(m)) for m in (ENSEMBLE, "model_a", "model_b")])
+    return streamed.join(batch, "trans_num").select("trans_num", (F.abs(F.col("fraud_probability") - wanted) < 1e-9).alias("ok"))
+
+
 @query()
 def stream_requests(spark, sf):
     """Requests of which some rows are damaged, some are empty and some lines cannot be read: nothing goes missing."""
@@ -934,6 +946,32 @@ def attribution_select(spark, sf):
     return jobs.select_features(_train(features), ensemble.members["model_a"], SELECTED_FEATURES).select("feature", "rank")
 
 
+@query()
+def base_select(spark, sf):
+    """The selection chain as a full run takes it: from the contributions of the base model, fitted on all train rows."""
+    def fit():
+        features, _ = _once(spark, sf, "features", lambda: _features(spark, sf))
+        ready = clean.with_defaults(_train(features), SELECTED_FEATURES)
+        return Ensemble.fit(ready, SELECTED_FEATURES, {"base": attribution_base()}).members["base"]
+
+    features, _ = _once(spark, sf, "features", lambda: _features(spark, sf))
+    return jobs.select_features(_train(features), _once(spark, sf, "base", fit), SELECTED_FEATURES).select("feature", "rank")
+
+
+@query()
+def sink_round_trip(spark, sf):
+    """Rows written by the feature sink in both formats and by the table sink, read again and summed."""
+    rows = fixtures.txn_split(spark, sf).select("trans_num", "category", F.round("amt", 2).alias("amt"), "split")
+    root, parts = fresh_path(spark, "sinks"), []
+    for fmt in ("parquet", "csv"):
+        sinks.write_features(rows, f"{root}/{fmt}", fmt)
+        parts.append(spark.read.schema(rows.schema).option("header", True).format(fmt).load(f"{root}/{fmt}").withColumn("sink", F.lit(fmt)))
+    sinks.write_table(rows, f"{root}/table")
+    parts.append(spark.read.schema(rows.schema).option("header", True).csv(f"{root}/table").withColumn("sink", F.lit("table")))
+    read = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return read.groupBy("sink", "split", "category").agg(F.count("*").alias("n_rows"), F.sum("trans_num").alias("id_sum"), F.sum("amt").alias("amt_sum"))
+
+
 @query()
 def artefact_round_trip(spark, sf):
     """Statistics, codes and models written, read again and applied: features as exported, scores as before."""

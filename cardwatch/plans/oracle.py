@@ -436,6 +436,10 @@ SELECT trans_num, {_i('uid_time_since_last uid_txn_1h uid_txn_24h uid_txn_7d')},
     "stream_carried": _sql(_HISTORY, f"""
 SELECT trans_num, {_i('uid_time_since_last uid_txn_1h uid_txn_24h uid_txn_7d')},
   {_r('uid_dist_from_prev prior_mean prior_std')} FROM hist WHERE unix_time > (SELECT (min(unix_time) + max(unix_time)) // 2 FROM hist)"""),
+    "stream_score_check": _sql(["base"], "SELECT trans_num, 1::BIGINT AS ok FROM base"),
+    "sink_round_trip": _sql(_CHAIN[:4], """
+SELECT sink, split, category, count(*) AS n_rows, sum(trans_num)::BIGINT AS id_sum, round(sum(round(amt, 2)), 6) AS amt_sum
+FROM txn, (SELECT unnest(['parquet', 'csv', 'table']) AS sink) GROUP BY ALL"""),
     "stream_distinct": _sql(["base"], "SELECT count(*) AS n_rows, sum(trans_num)::BIGINT AS id_sum, max(trans_num) AS id_max FROM base"),
     "published_batches": _sql(["base"], f"SELECT trans_num, {_r('amt')} FROM base"),
     "stream_responses": _sql(["base"], """
