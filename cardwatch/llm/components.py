@@ -43,6 +43,7 @@ def spread(links: DataFrame, tasks: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of the links (a, b): label is the smallest node reachable.
 
+    Links with a null end and of a node with itself link nothing; repeated links count once; without links there are no rows.
     Every round hooks a node and its label to the smallest label next to them and then jumps to the label's label; labels
     only fall, so the rounds end, after about the logarithm of the longest chain.
     """
