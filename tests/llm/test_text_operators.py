@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cardwatch.llm import common, language, licenses, packing, quality, repetition
+from cardwatch.runtime import stored
 
 
 def tokenizer():
@@ -229,6 +230,20 @@ def test_licenses(spark, messy, empty):
     assert licenses.learn(empty.select("doc_id", "text"), learn_rows=10, seed=1).limit >= 0.5
 
 
+def test_licenses_are_learned_from_every_line(spark, monkeypatch):
+    """Examples and limits together take every line of every document once, also of long ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    given = sum(2 for r in docs.collect() for x in (r["text"] or "").split("\n") if (w := licenses.terms(x)) and not licenses.declares(w))
+    tables = {}
+    monkeypatch.setattr(licenses, "stored", lambda df, name: tables.setdefault(name, stored(df, name)))
+    model = licenses.learn(docs, seed=42)
+    lines = tables["license-lines"].agg(F.sum("n")).first()[0]
+    apart = tables["license-values"].where("kind = 2").agg(F.sum("n")).first()[0]
+    assert lines + apart == given and 0.3 * given < lines < 0.7 * given
+    best = [r for r in tables["license-values"].where("kind = 0").collect() if r["value"] > model.limit]
+    assert sum(r["n"] for r in best) <= licenses.FALSE_SHARE * apart or model.limit == 0.95
+
+
 def test_notices_beside_other_words(spark):
     mit = " ".join(["MIT License Copyright (c) 2020 Jane Doe", *licenses.TEMPLATES["MIT"][4:], *licenses.WARRANTIES["MIT"]])
     prose = "The river ran past the old mill and the children played by the water until evening came over the hills. "
