@@ -395,6 +395,21 @@ def test_learning_grows_with_the_counted_tokens(monkeypatch, spark):
     assert total(scorer) > total(plain)
 
 
+def test_lm_query_learns_from_every_token(monkeypatch, spark):
+    """In several passes over few tokens, and in one pass over more: no learned document is left out."""
+    for few in (lm.FEW_TOKENS, 50_000):
+        monkeypatch.setattr(lm, "FEW_TOKENS", few)
+        dealt = []
+        monkeypatch.setattr(lm, "stored", lambda df, name: dealt.append((name, stored(df, name))) or dealt[-1][1])  # noqa: B023
+        rows = lm.op9_lm(spark, "/root/testdata/sf0.01", learn_tokens=10_000).collect()
+        kept = dict(dealt)["lm-dealt"].collect()
+        assert sum(len(r["types"]) // 4 + 1 for r in kept) == rows[0]["train_tokens"]
+        assert len(kept) == sum(not r["held_out"] for r in rows)
+        assert {r["slice"] for r in kept} == set(range(lm.SLICES if few > 50_000 else lm.EPOCHS * lm.SLICES))
+        apart = [r for r in rows if r["held_out"]]
+        assert sum(r["score"] for r in apart) > sum(r["base_score"] for r in apart)
+
+
 def test_more_tasks_learn_as_well_as_one(monkeypatch, spark):
     """The gain over the base on documents not learned from, with eight tasks and with one."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("doc_id < 3000")
