@@ -54,6 +54,28 @@ def test_shapley_against_all_subsets(prepared, ensemble):
             assert found[i] == pytest.approx(want, abs=1e-9)
 
 
+def test_tables_are_made_once_for_all_batches_and_bounded(monkeypatch):
+    made, plain = [], attribution.pattern_table
+    monkeypatch.setattr(attribution, "pattern_table", lambda *a: made.append(1) or plain(*a))
+    inf = np.inf
+    leaves = [
+        (0.5, [0, 2], np.array([-inf, 1.0]), np.array([2.0, inf]), np.array([0.25, 0.5])),
+        (-1.5, [1], np.array([0.0]), np.array([3.0]), np.array([0.4])),
+        (2.0, [], np.array([]), np.array([]), np.array([])),
+    ]
+    x = np.array([[1.0, 2.0, 3.0], [2.0, 0.0, 1.0], [np.nan, 4.0, inf], [5.0, np.nan, 0.0], [1.5, 3.0, 2.0]])
+    want, tables = attribution.shapley(leaves, x), {}
+    made.clear()
+    for _ in range(3):
+        assert np.array_equal(attribution.shapley(leaves, x, tables), want)
+    assert len(made) == len(leaves)
+    assert np.array_equal(attribution.shapley(leaves, x[:1], tables), want[:1])
+    assert np.allclose(attribution.shapley(leaves, x[:1]), want[:1], atol=1e-12)  # too few rows for whole tables
+    monkeypatch.setattr(attribution, "TABLE_CELLS", 8)
+    small = {}
+    assert np.array_equal(attribution.shapley(leaves, x, small), want) and set(small) == {0, 2}
+
+
 @pytest.mark.parametrize("name", ["model_a", "model_b"])
 def test_contributions_add_up_to_the_output(prepared, ensemble, name):
     stages = ensemble.members[name].stages
