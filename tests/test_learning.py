@@ -280,3 +280,26 @@ def test_trees_kept_by_average_precision_equal_refits(spark):
         vector_to_array("m_raw")[1].alias("s"), vector_to_array("m_prob")[1].alias("p")).collect()]
     assert short.getNumTrees == 2 and np.allclose(scores(short), scores(same))
     assert models.fit_member(matrix.withColumn("is_validation", F.lit(False)), make(3)).getNumTrees == 3
+
+
+def test_margins_travel_in_blocks_and_ranges_change_nothing(spark, limits):
+    """Rows of a batch with the same margin are one entry of a block; small ranges give the precisions of one range."""
+    draw = np.random.default_rng(8)
+    x = draw.integers(0, 6, size=(900, 3)).astype(float)
+    y = (x[:, 0] + x[:, 1] + draw.normal(size=900) > 7).astype(float)
+    df = spark.createDataFrame([(*map(float, r), float(t), 1.0) for r, t in zip(x, y)], ["f0", "f1", "f2", "is_fraud", "w"])
+    matrix = stored(models.assembler(["f0", "f1", "f2"]).transform(df).select("features", "is_fraud", "w"), "matrix").coalesce(1)
+    model = models.boosted_trees("m", maxIter=5, maxDepth=3, minInstancesPerNode=5).fit(matrix)
+    rows = matrix.collect()
+    margins = models.margins(models.tree_tables(model), np.array([r["features"].toArray() for r in rows]))
+    raw = [r["s"] for r in model.transform(matrix).select(vector_to_array("m_raw")[1].alias("s")).collect()]
+    assert np.allclose(margins[-1], np.array(raw), atol=1e-9) or np.allclose(2 * margins[-1], np.array(raw), atol=1e-9)
+    want = [average_precision([r["is_fraud"] for r in rows], list(m)) for m in margins]
+    blocks = models.staged_blocks(model, matrix)
+    assert blocks.count() == 5 and blocks.agg(F.sum("n")).first()[0] == 5 * 900  # not a row for every row and tree
+    assert max(len(r["margins"]) // 8 for r in blocks.collect()) <= 6 ** 3
+    assert np.allclose(models.staged_precision(model, matrix), want, atol=1e-12)
+    limits(rowsPerRange=60)
+    assert models.staged_blocks(model, matrix).select("part").distinct().count() > 5
+    assert np.allclose(models.staged_precision(model, matrix), want, atol=1e-12)
+    assert models.staged_precision(model, matrix.limit(0)) == []
