@@ -303,3 +303,24 @@ def test_margins_travel_in_blocks_and_ranges_change_nothing(spark, limits):
     assert models.staged_blocks(model, matrix).select("part").distinct().count() > 5
     assert np.allclose(models.staged_precision(model, matrix), want, atol=1e-12)
     assert models.staged_precision(model, matrix.limit(0)) == []
+
+
+def test_members_fitted_side_by_side_are_those_fitted_one_by_one(spark, monkeypatch):
+    """Small matrices are fitted by several threads at once, larger ones by one; the models are the same."""
+    import threading
+
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(400, 2))
+    y = (x.sum(axis=1) + draw.normal(size=400) > 1).astype(float)
+    df = spark.createDataFrame([(*map(float, r), float(t), 1.0, bool(k % 4 == 0)) for k, (r, t) in enumerate(zip(x, y))],
+                               ["f0", "f1", "is_fraud", "w", "is_validation"])
+    matrix = stored(models.assembler(["f0", "f1"]).transform(df).select("features", "is_fraud", "w", "is_validation"), "matrix")
+    threads, plain = set(), models.fit_member
+    monkeypatch.setattr(models, "fit_member", lambda *a: threads.add(threading.get_ident()) or plain(*a))
+    learners = models.default_members(maxIter=3, numTrees=3, maxDepth=2, minInstancesPerNode=5)
+    trees = lambda found: {n: m.toDebugString.split("\n", 1)[1] for n, m in found.items()}
+    together = trees(models.fit_members(matrix, learners))
+    assert list(together) == list(learners) and len(threads) == 3
+    threads.clear()
+    monkeypatch.setattr(models, "SIDE_BY_SIDE", 399)
+    assert trees(models.fit_members(matrix, learners)) == together and threads == {threading.get_ident()}
