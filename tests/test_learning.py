@@ -324,3 +324,17 @@ def test_members_fitted_side_by_side_are_those_fitted_one_by_one(spark, monkeypa
     threads.clear()
     monkeypatch.setattr(models, "SIDE_BY_SIDE", 399)
     assert trees(models.fit_members(matrix, learners)) == together and threads == {threading.get_ident()}
+
+
+def test_forests_keep_nodes_between_passes_and_grow_the_same_trees(spark):
+    """Default and searched forests keep every row's node; the trees are those of a forest that walks from the roots."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(600, 3))
+    y = (x[:, 0] * x[:, 1] + 0.3 * draw.normal(size=600) > 0).astype(float)
+    df = spark.createDataFrame([(*map(float, r), float(t), 1.0 + float(t)) for r, t in zip(x, y)], ["f0", "f1", "f2", "is_fraud", "w"])
+    matrix = stored(models.assembler(["f0", "f1", "f2"]).transform(df), "matrix")
+    params = {"numTrees": 7, "maxDepth": 6, "minInstancesPerNode": 3}
+    trees = lambda learner: learner.fit(matrix).toDebugString.split("\n", 1)[1]
+    for learner in (models.random_forest("f"), models.default_members()["model_b"], models.random_forest("f", **tuning.draw(tuning.FOREST_SPACE, 0))):
+        assert learner.getCacheNodeIds()
+    assert trees(models.random_forest("f", **params)) == trees(models.random_forest("f", **params, cacheNodeIds=False))
