@@ -338,3 +338,37 @@ def test_forests_keep_nodes_between_passes_and_grow_the_same_trees(spark):
     for learner in (models.random_forest("f"), models.default_members()["model_b"], models.random_forest("f", **tuning.draw(tuning.FOREST_SPACE, 0))):
         assert learner.getCacheNodeIds()
     assert trees(models.random_forest("f", **params)) == trees(models.random_forest("f", **params, cacheNodeIds=False))
+
+
+def test_search_queries_run_every_trial_in_every_fold(spark, sf, monkeypatch):
+    """As many trials as a whole run takes, over all train rows."""
+    from cardwatch.plans import catalogue
+    from cardwatch.schema import TUNING_TRIALS
+
+    sizes, ran = set(), []
+
+    def score(matrix, learner, fold):
+        sizes.add(matrix)
+        ran.append((learner.getNumTrees(), fold))
+        return 0.5
+
+    monkeypatch.setattr(tuning, "fold_score", score)
+    monkeypatch.setattr(catalogue, "_RUNS", {})
+    found = catalogue.QUERIES["tune_grid"](spark, sf).collect()
+    assert sorted((r["trial"], r["fold"]) for r in found) == [(t, f) for t in range(TUNING_TRIALS) for f in range(3)]
+    want = sorted((tuning.draw(tuning.FOREST_SPACE, t)["numTrees"], f) for t in range(TUNING_TRIALS) for f in range(3))
+    assert sorted(ran) == want and len(sizes) == 1
+    features, _ = catalogue._once(spark, sf, "features", None)
+    assert sizes.pop().count() == features.where("split = 'train'").count()
+
+
+def test_fitted_models_ask_for_their_trees_only_when_asked(spark):
+    """Listing a model's parameters leaves its trees alone; they are there when asked for, and copies and scores work."""
+    df = spark.createDataFrame([(float(k % 7), float(k % 5), float(k % 3 == 0), 1.0, k % 4 == 0) for k in range(80)],
+                               ["f0", "f1", "is_fraud", "w", "is_validation"])
+    matrix = stored(models.assembler(["f0", "f1"]).transform(df).select("features", "is_fraud", "w", "is_validation"), "matrix")
+    for learner, n in ((models.random_forest("f", numTrees=4), 4), (models.boosted_trees("b", maxIter=3), 3)):
+        model = learner.fit(matrix)
+        scored = model.copy().transform(matrix).count()
+        assert "trees" not in model.__dict__ and scored == 80
+        assert model.getOrDefault("labelCol") == "is_fraud" and len(model.trees) == model.getNumTrees == n
