@@ -410,6 +410,22 @@ def test_lm_query_learns_from_every_token(monkeypatch, spark):
         assert sum(r["score"] for r in apart) > sum(r["base_score"] for r in apart)
 
 
+def test_every_token_is_passed_over_in_every_epoch_at_any_size(monkeypatch, spark, sf):
+    """Few tokens and many: a round for each slice in each of the passes, at rates that fall to the last round."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    plain = lm.rates
+    for few, slices in ((lm.FEW_TOKENS, lm.SLICES), (1000, lm.EPOCHS * lm.SLICES)):
+        monkeypatch.setattr(lm, "FEW_TOKENS", few)
+        met, dealt = [], []
+        monkeypatch.setattr(lm, "rates", lambda *a: met.append(a) or plain(*a))  # noqa: B023
+        monkeypatch.setattr(lm, "stored", lambda df, name: dealt.append((name, stored(df, name))) or dealt[-1][1])  # noqa: B023
+        lm.learn(docs, learn_tokens=10_000, seed=1, learn_share=1.0)
+        assert {r["slice"] for r in dict(dealt)["lm-dealt"].select("slice").distinct().collect()} == set(range(slices))
+        assert [a[0] for a in met] == list(range(lm.EPOCHS * slices)) and {a[1:] for a in met} == {(lm.EPOCHS * slices,)}
+    falling = [plain(k, 36) for k in range(36)]
+    assert falling[0][0] == lm.RATE and all(a[1] == b[0] and a[0] >= a[1] for a, b in zip(falling, falling[1:]))
+
+
 def test_more_tasks_learn_as_well_as_one(monkeypatch, spark):
     """The gain over the base on documents not learned from, with eight tasks and with one."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("doc_id < 3000")
