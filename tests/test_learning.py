@@ -1,5 +1,6 @@
 """Attribution, ensemble, calibration, tuning and artefacts."""
 
+import os
 from itertools import combinations
 from math import factorial
 
@@ -372,3 +373,52 @@ def test_fitted_models_ask_for_their_trees_only_when_asked(spark):
         scored = model.copy().transform(matrix).count()
         assert "trees" not in model.__dict__ and scored == 80
         assert model.getOrDefault("labelCol") == "is_fraud" and len(model.trees) == model.getNumTrees == n
+
+
+def test_forests_above_the_limit_grow_in_batches_of_all_their_trees(spark, limits, tmp_path):
+    """No fit holds more rows times trees than the limit; the joined forest has every tree, its parameters, and the mean of the trees' votes."""
+    from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+
+    df = spark.createDataFrame([(float(k % 7), float(k * k % 11), float(k % 3 == 0), 1.0) for k in range(90)], ["f0", "f1", "is_fraud", "w"])
+    matrix = stored(models.assembler(["f0", "f1"]).transform(df).select("features", "is_fraud", "w"), "matrix")
+    whole = models.random_forest("f", numTrees=10, maxDepth=3).fit(matrix)
+    sizes, fit = [], RandomForestClassifier._fit_java
+
+    def counted(self, dataset):
+        sizes.append(self.getNumTrees())
+        return fit(self, dataset)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(RandomForestClassifier, "_fit_java", counted)
+        limits(treeRows=2 * 90 * 4)
+        learner = models.random_forest("f", numTrees=10, maxDepth=3)
+        learner.beside = 2
+        model = learner.fit(matrix)
+        assert sorted(sizes) == [3, 3, 4]
+        limits(treeRows=1)
+        assert models.random_forest("f", numTrees=3).fit(matrix).getNumTrees == 3 and sizes[3:] == [1, 1, 1]
+    assert model.getNumTrees == len(model.trees) == model.getOrDefault("numTrees") == learner.getNumTrees() == 10
+    assert len({t.toDebugString.split("\n", 1)[1] for t in model.trees}) > 3
+    for name in ("seed", "maxDepth", "labelCol", "probabilityCol", "weightCol", "cacheNodeIds"):
+        assert model.getOrDefault(name) == whole.getOrDefault(name)
+    rows = model.transform(matrix).select("features", "f_prob").distinct().collect()
+    for row in rows[:5]:
+        votes = [t.predictRaw(row["features"]).toArray() for t in model.trees]
+        assert np.allclose(np.mean([v / v.sum() for v in votes], axis=0), row["f_prob"].toArray())
+    model.write().save(f"{tmp_path}/forest")
+    again = RandomForestClassificationModel.load(f"{tmp_path}/forest")
+    assert again.getNumTrees == 10 and sorted(map(str, again.transform(matrix).select("f_prob").collect())) == sorted(
+        map(str, model.transform(matrix).select("f_prob").collect()))
+
+
+def test_a_fold_leaves_no_tables_behind(spark, monkeypatch):
+    from cardwatch import runtime
+
+    paths, fresh = [], runtime.fresh_path
+    df = spark.createDataFrame([(float(k % 7), float(k % 3 == 0), 1.0, k % 2, k % 5 == 0) for k in range(80)], ["f0", "is_fraud", "w", "fold", "is_validation"])
+    matrix = stored(models.assembler(["f0"]).transform(df).select("features", "is_fraud", "w", "fold", "is_validation"), "matrix")
+    monkeypatch.setattr(runtime, "fresh_path", lambda *args: paths.append(fresh(*args)) or paths[-1])
+    paths.clear()
+    found = tuning.search(matrix, "forest", 1, {"numTrees": (2, 3, False)}, folds=2, parallelism=2).collect()
+    assert [r["error"] for r in found] == [None, None] and len(paths) > 2
+    assert not any(os.path.exists(p) for p in paths)
